@@ -17,14 +17,10 @@ _CLOCK = r"(?i)(\d+):(\d+)\s*(am|pm)\s*on\s*(\d+)\s*(\w+),?\s*(\d+)"
 
 def _iso(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
     """ISO text in UTC; day, hour and minute overflow carries forward like a civil calendar."""
-    first = F.try_to_timestamp(
-        F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"),
-                 F.lit("-01")),
-        F.lit("yyyy-MM-dd"),
-    )
-    shift = (day - 1) * 86400 + hour * 3600 + minute * 60
-    moment = F.timestamp_seconds(F.unix_seconds(first) + shift)
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.'000Z'")
+    one, zero = F.lit(1), F.lit(0)
+    first = F.try_make_timestamp_ntz(year, month, one, zero, zero, zero.cast("decimal(16,6)"))
+    moment = first + F.make_dt_interval(day - 1, hour, minute, zero)
+    return F.concat(F.replace(moment.cast("string"), F.lit(" "), F.lit("T")), F.lit(".000Z"))
 
 
 def _clock(hour: Column, minute: Column) -> Column:

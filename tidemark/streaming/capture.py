@@ -16,7 +16,8 @@ from ..plans.scan import gap_runs
 MAX_ROWS = 15
 IDLE_SECONDS = 300
 
-_FLUSH = "key bigint, first_ts timestamp, last_ts timestamp, n bigint, reason string"
+_FLUSH = "key bigint, first_us bigint, last_us bigint, n bigint, reason string"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Buffer(StatefulProcessor):
@@ -31,15 +32,14 @@ class _Buffer(StatefulProcessor):
         self.open = handle.getValueState("open", T.StructType(fields))
 
     def _row(self, key, n: int, first: int, last: int, reason: str) -> dict:
-        return {"key": key[0], "first_ts": pd.Timestamp(first, unit="us"), "last_ts": pd.Timestamp(last, unit="us"),
-                "n": n, "reason": reason}
+        return {"key": key[0], "first_us": first, "last_us": last, "n": n, "reason": reason}
 
     def _disarm(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stamps = sorted(int(t.value // 1000) for frame in rows for t in frame["ts"])
+        stamps = sorted(int(us) for frame in rows for us in frame["us"])
         n, first, last = self.open.get() if self.open.exists() else (0, 0, 0)
         out = []
         for at in stamps:
@@ -56,7 +56,7 @@ class _Buffer(StatefulProcessor):
             self.handle.registerTimer(last // 1000 + self.idle_ms)
         else:
             self.open.clear()
-        yield pd.DataFrame(out, columns=["key", "first_ts", "last_ts", "n", "reason"])
+        yield pd.DataFrame(out, columns=["key", "first_us", "last_us", "n", "reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
@@ -65,7 +65,7 @@ class _Buffer(StatefulProcessor):
             if last // 1000 + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
                 out.append(self._row(key, n, first, last, "idle"))
                 self.open.clear()
-        yield pd.DataFrame(out, columns=["key", "first_ts", "last_ts", "n", "reason"])
+        yield pd.DataFrame(out, columns=["key", "first_us", "last_us", "n", "reason"])
 
     def close(self) -> None:
         pass
@@ -78,11 +78,14 @@ def capture(stream: DataFrame, key: str, ts: str, max_rows: int = MAX_ROWS, idle
     State per key is three numbers; the messages themselves are never buffered. Rows later than the
     watermark are dropped by Spark and counted in ``numRowsDroppedByWatermark``.
     """
-    rows = stream.select(F.col(key).cast("bigint").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return (
-        rows.withWatermark("ts", watermark).groupBy("key")
-        .transformWithStateInPandas(_Buffer(max_rows, idle_seconds * 1000), _FLUSH, "Append", "EventTime")
-    )
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    # The handler works on epoch microseconds, so the session time zone plays no part.
+    at = F.col(ts).cast("timestamp")
+    rows = stream.select(F.col(key).cast("bigint").alias("key"), at.alias("ts"), F.unix_micros(at).alias("us"))
+    flushes = rows.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
+        _Buffer(max_rows, idle_seconds * 1000), _FLUSH, "Append", "EventTime")
+    return flushes.select("key", F.timestamp_micros("first_us").alias("first_ts"),
+                          F.timestamp_micros("last_us").alias("last_ts"), "n", "reason")
 
 
 def capture_batch(messages: DataFrame, key: str, ts: str, tie: str, max_rows: int = MAX_ROWS,

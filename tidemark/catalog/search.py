@@ -136,10 +136,10 @@ m AS (SELECT query_id, doc_id, sum(qtf) AS match_count, sum(qtf * uses) AS uses
 s AS (SELECT q.query_id, d.doc_id, CAST(coalesce(match_count, 0) AS BIGINT) AS match_count,
   round(least(coalesce(match_count, 0)::DOUBLE / qn.n + least(coalesce(uses, 0)::DOUBLE / 100, 0.1), 1.0), 6) AS score
   FROM q JOIN qn USING (query_id) CROSS JOIN documents d LEFT JOIN m ON m.query_id = q.query_id AND m.doc_id = d.doc_id)
-SELECT query_id, 'corpus' AS container, doc_id, score, match_count,
+SELECT query_id, 'src' AS container, doc_id, score, match_count,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_count DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def keyword_coverage_topk(t: Tables) -> DataFrame:
-    docs = t("documents").select(F.lit("corpus").alias("container"), "doc_id", "text")
+    docs = t("documents").select(F.substring("source", 1, 3).alias("container"), "doc_id", "text")
     return keyword_search(items(t), docs, 10)
 
 
@@ -163,7 +163,7 @@ _LINES = r"""list_slice(list_filter(list_transform(string_split(trim(text), chr(
   lambda l: trim(regexp_replace(l, '^[-*\d.)\s]+', ''))), lambda l: length(l) > 3 AND length(l) < 200), 1, 5)"""
 _SUBQ = f"""s0 AS (SELECT item_id AS query_id, text, 0 AS sub FROM benchmark UNION ALL
   SELECT item_id, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS sub FROM (SELECT item_id, {_LINES} AS l FROM benchmark)),
-q AS (SELECT query_id * 100 + sub AS query_id, 'corpus' AS container, text FROM s0)"""
+q AS (SELECT query_id * 100 + sub AS query_id, 'src' AS container, text FROM s0)"""
 
 
 @query("subquery_merge", f"""WITH {bm25_ctes(D_CORPUS, _SUBQ)},
@@ -178,7 +178,7 @@ def subquery_merge(t: Tables) -> DataFrame:
     whole = t("benchmark").select("item_id", F.lit(0).cast("bigint").alias("sub"), "text")
     lines = t("benchmark").select("item_id", F.posexplode(clean_subquery_lines(F.col("text"))).alias("i", "text"))
     subs = whole.unionByName(lines.select("item_id", (F.col("i") + 1).cast("bigint").alias("sub"), "text"))
-    scoped = subs.select((F.col("item_id") * 100 + F.col("sub")).alias("query_id"), F.lit("corpus").alias("container"), "text")
+    scoped = subs.select((F.col("item_id") * 100 + F.col("sub")).alias("query_id"), F.lit("src").alias("container"), "text")
     hits = se.bm25_top_k(scoped, ix.index_chunks(corpus(t)), 10).select(
         F.floor(F.col("query_id") / 100).alias("query_id"), (F.col("query_id") % 100).alias("sub"), "container",
         "chunk_id", "rank", F.col("bm25").alias("score"))

@@ -14,8 +14,8 @@ STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
 
 def corpus(t: Tables) -> DataFrame:
-    """All documents in one container."""
-    return t("documents").select(F.lit("corpus").alias("container"), F.col("doc_id").alias("chunk_id"),
+    """All documents in one container, named by the letters all sources share."""
+    return t("documents").select(F.substring("source", 1, 3).alias("container"), F.col("doc_id").alias("chunk_id"),
                                  F.col("text").alias("content"))
 
 
@@ -25,7 +25,7 @@ def corpus_by_source(t: Tables) -> DataFrame:
 
 
 def items(t: Tables) -> DataFrame:
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.lit("corpus").alias("container"), "text")
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.lit("src").alias("container"), "text")
 
 
 def corpus_with_vectors(t: Tables) -> DataFrame:
@@ -39,8 +39,8 @@ def items_with_vectors(t: Tables) -> DataFrame:
     return items(t).join(vectors, "query_id")
 
 
-D_CORPUS = "d AS (SELECT 'corpus' AS container, doc_id AS chunk_id, text FROM documents)"
-Q_ITEMS = "q AS (SELECT item_id AS query_id, 'corpus' AS container, text FROM benchmark)"
+D_CORPUS = "d AS (SELECT 'src' AS container, doc_id AS chunk_id, text FROM documents)"
+Q_ITEMS = "q AS (SELECT item_id AS query_id, 'src' AS container, text FROM benchmark)"
 
 
 def bm25_ctes(d: str = D_CORPUS, q: str = Q_ITEMS) -> str:

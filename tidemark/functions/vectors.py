@@ -15,5 +15,5 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; 0 for unequal lengths or a zero norm."""
     norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
     return F.when(
-        (F.size(a) == F.size(b)) & (norm > 0), _dot(a, b) / norm
+        F.size(a) == F.size(b), F.coalesce(F.try_divide(_dot(a, b), norm), F.lit(0.0))
     ).otherwise(F.lit(0.0))

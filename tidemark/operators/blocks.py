@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 CHUNK_BLOCK = 8192
 QUERY_BLOCK = 512
+SMALL_BLOCK = 512
 DIGITS = 6
 
 
@@ -158,11 +159,14 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None,
     # Fresh column ids: both sides may come from one table.
     chunks = chunks.select(*[F.col(c).alias(c) for c in ("container", "chunk_id", "embedding")])
     queries = queries.select(*[F.col(c).alias(c) for c in ("container", "query_id", "embedding")])
+    cores = queries.sparkSession.sparkContext.defaultParallelism
     sizes = (
         chunks.groupBy("container").agg(F.count("*").alias("_n"))
         .join(queries.groupBy("container").agg(F.count("*").alias("_m")), "container")
         .select("container",
-                F.ceil(F.col("_n") / chunk_block).cast("int").alias("_cn"),
+                # Small containers are still cut finely enough to use every core.
+                F.greatest(F.ceil(F.col("_n") / chunk_block), F.least(F.lit(cores), F.ceil(F.col("_n") / SMALL_BLOCK)))
+                .cast("int").alias("_cn"),
                 F.ceil(F.col("_m") / query_block).cast("int").alias("_qn"))
     )
 

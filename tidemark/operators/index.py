@@ -29,24 +29,32 @@ class Index:
         return self.chunks.select("container", "chunk_id", F.size(bm25_tokens(F.col("content"))).alias("dl"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """``(container, term, chunk_id, tf, dl)``.
+def term_counts(texts: DataFrame, id_col: str, text_col: str, tokens) -> DataFrame:
+    """``(container, <id>, dl, term, tf)`` from the tokens of each text.
 
-    All tokens of a chunk sit in one row, so the count is complete before the shuffle.
+    A text is smaller than the rows of its terms, so the texts are spread by id first; the count
+    then needs no further shuffle. The outer explode keeps Spark from adding a filter that would
+    cut the tokens a second time, before the spread.
     """
-    tokens = chunks.select("container", "chunk_id", bm25_tokens(F.col("content")).alias("_tokens"))
     return (
-        tokens.select("container", "chunk_id", F.size("_tokens").alias("dl"),
-                      F.explode("_tokens").alias("term"))
-        .groupBy("container", "term", "chunk_id", "dl")
-        .agg(F.count("*").alias("tf"))
+        texts.select("container", id_col, F.col(text_col).alias("_text")).repartition("container", id_col)
+        .select("container", id_col, tokens(F.col("_text")).alias("_tokens"))
+        .select("container", id_col, F.size("_tokens").alias("dl"), F.explode_outer("_tokens").alias("term"))
+        .where(F.col("term").isNotNull())
+        .groupBy("container", id_col, "dl", "term").agg(F.count("*").alias("tf"))
     )
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """``(container, term, chunk_id, tf, dl)``."""
+    return term_counts(chunks, "chunk_id", "content", bm25_tokens).select("container", "term", "chunk_id", "dl", "tf")
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """``(container, n_docs, total_len, avgdl)``."""
+    texts = chunks.select("container", "chunk_id", F.col("content").alias("_text")).repartition("container", "chunk_id")
     return (
-        chunks.select("container", F.size(bm25_tokens(F.col("content"))).alias("dl"))
+        texts.select("container", F.size(bm25_tokens(F.col("_text"))).alias("dl"))
         .groupBy("container")
         .agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_len"))
         .withColumn("avgdl", F.col("total_len") / F.col("n_docs"))
@@ -103,12 +111,6 @@ def upsert_chunks(existing: DataFrame, new: DataFrame, version: str | None = Non
     return first_row(both, ["container", "chunk_id"], order).drop("_gen")
 
 
-def restrict_postings(index: Index, terms: DataFrame) -> DataFrame:
-    """Postings of the given (container, term) rows; the semi-join moves below the count."""
-    return index.postings.join(terms.select("container", "term").distinct(), ["container", "term"],
-                               "left_semi")
-
-
 def clear_container(df: DataFrame, containers: DataFrame) -> DataFrame:
     """Drop every row of the named containers."""
     return df.join(containers.select("container"), "container", "left_anti")

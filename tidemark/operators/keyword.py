@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens
-from ..plans.skew import salted_join, top_k
+from ..plans.scratch import cut_lineage
+from ..plans.skew import BROADCAST_ROWS, fits, measured_join, top_k
+from .index import term_counts
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -25,30 +27,29 @@ def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     that occur, which makes the substring test an equi-join.
     """
     terms = _query_terms(queries)
-    words = (
-        docs.select("container", "doc_id", F.explode(plain_tokens(F.col("text"))).alias("word"))
-        .groupBy("container", "word", "doc_id").agg(F.count("*").alias("tf"))
-    )
+    fit = fits(terms)
+    words = term_counts(docs, "doc_id", "text", plain_tokens).withColumnRenamed("term", "word").drop("dl")
     distinct_terms = terms.select("container", "term").distinct()
     lengths = distinct_terms.select("container", F.length("term").alias("_len")).distinct()
     vocabulary = words.select("container", "word").distinct()
     fragments = (
-        vocabulary.join(lengths, "container").where(F.length("word") >= F.col("_len"))
-        .select("container", "word", F.explode(F.array_distinct(F.transform(
+        vocabulary.join(F.broadcast(lengths) if fit else lengths, "container").where(F.length("word") >= F.col("_len"))
+        .select("container", "word", F.explode_outer(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.length("word") - F.col("_len") + 1),
             lambda i: F.substring(F.col("word"), i, F.col("_len"))))).alias("term"))
     )
     # Non-overlapping uses of the term inside the word.
     uses = ((F.length("word") - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term"))
-    term_words = fragments.join(distinct_terms, ["container", "term"]).select(
-        "container", "term", "word", uses.cast("bigint").alias("uses")
+    term_words = cut_lineage(
+        fragments.join(F.broadcast(distinct_terms) if fit else distinct_terms, ["container", "term"]).select(
+            "container", "term", "word", uses.cast("bigint").alias("uses"))
     )
     per_term = (
-        salted_join(term_words, words, ["container", "word"], "doc_id")
+        measured_join(term_words, words, ["container", "word"], "doc_id", fits(term_words, 4 * BROADCAST_ROWS))
         .groupBy("container", "term", "doc_id")
         .agg(F.sum(F.col("uses") * F.col("tf")).alias("uses"))
     )
-    found = salted_join(terms, per_term, ["container", "term"], "doc_id")
+    found = measured_join(terms, per_term, ["container", "term"], "doc_id", fit)
     return found.groupBy("query_id", "container", "doc_id", "n_terms").agg(
         F.sum("qtf").alias("match_count"), F.sum(F.col("qtf") * F.col("uses")).alias("uses")
     ).select(

@@ -39,8 +39,8 @@ def retrieval_metrics(questions: DataFrame, hits: DataFrame, labels: DataFrame,
         F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1.0),
     )
     hit = (F.col("relevant_retrieved") > 0).cast("double")
-    precision = F.when(F.col("k") > 0, F.col("relevant_retrieved") / F.col("k")).otherwise(0.0)
-    f1 = F.when(precision + hit > 0, 2 * precision * hit / (precision + hit)).otherwise(0.0)
+    precision = F.coalesce(F.try_divide("relevant_retrieved", "k"), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * precision * hit, precision + hit), F.lit(0.0))
     out = per.select(
         "query_id", hit.alias("hit_at_k"), F.round(precision, 6).alias("precision_at_k"),
         hit.alias("recall_at_k_ref"), F.round(f1, 6).alias("f1_at_k"),
@@ -52,7 +52,7 @@ def retrieval_metrics(questions: DataFrame, hits: DataFrame, labels: DataFrame,
     if truth is None:
         return out.withColumn("recall_at_k", F.lit(None).cast("double"))
     return out.join(truth, "query_id", "left").withColumn(
-        "recall_at_k", F.round(F.col("relevant_retrieved") / F.col("n_relevant"), 6)
+        "recall_at_k", F.round(F.try_divide("relevant_retrieved", "n_relevant"), 6)
     ).drop("n_relevant")
 
 

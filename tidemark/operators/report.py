@@ -49,7 +49,7 @@ def accuracy_by_type(results: DataFrame, type_col: str = "question_type") -> Dat
     return rolled.where((F.col("_all") == 0) | (F.col("total") > 0)).select(
         F.when(F.col("_all") == 1, "(all)").otherwise(F.col(type_col)).alias(type_col),
         "total", "correct",
-        F.round(F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0), 6).alias("accuracy"),
+        F.round(F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)), 6).alias("accuracy"),
     )
 
 

@@ -40,7 +40,7 @@ def indexing_episodes(episodes: DataFrame) -> DataFrame:
             F.sum(length("failed_ids")).alias("failed"),
         )
         .where(F.col("total") > 0)
-        .withColumn("percent", round_half_up(F.col("completed") / F.col("total") * 100))
+        .withColumn("percent", round_half_up(F.try_divide("completed", "total") * 100))
     )
 
 
@@ -133,6 +133,6 @@ def run_accuracy(results: DataFrame) -> DataFrame:
         F.count_if(F.col("evaluated")).alias("evaluated"),
         F.count_if(F.col("evaluated") & (F.col("score") == 1)).alias("correct"),
     ).withColumns({
-        "accuracy": F.round(F.when(F.col("evaluated") > 0, F.col("correct") / F.col("evaluated")), 6),
+        "accuracy": F.round(F.try_divide("correct", "evaluated"), 6),
         "accuracy_all": F.round(F.col("correct") / F.col("total"), 6),
     })

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
-from ..plans.skew import first_row, salted_join, top_k
+from ..plans.scratch import cut_lineage
+from ..plans.skew import first_row, fits, measured_join, top_k
 from .blocks import block_top_k, streamed_top_k
-from .index import Index, restrict_postings
+from .index import Index
 
 # Ranking constants.
 K1 = 1.2
@@ -33,9 +34,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_raw(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
-    """``(query_id, container, chunk_id, bm25_raw)`` for every chunk that shares a term."""
+    """``(query_id, container, chunk_id, bm25_raw)`` for every chunk that shares a term.
+
+    A query batch measured to fit is sent to the postings, which are then neither shuffled for the
+    match nor for the sum. Larger batches meet them in a salted join.
+    """
     terms = query_terms(queries)
-    hits = restrict_postings(index, terms)
+    fit = fits(terms)
+    wanted = terms.select("container", "term").distinct()
+    hits = index.postings.join(F.broadcast(wanted) if fit else wanted, ["container", "term"], "left_semi")
     df = hits.groupBy("container", "term").agg(F.count("*").alias("df"))
     weighted = (
         terms.join(df, ["container", "term"])
@@ -46,7 +53,7 @@ def bm25_raw(queries: DataFrame, index: Index, k1: float = K1, b: float = B) ->
             .alias("weight"),
         )
     )
-    matched = salted_join(weighted, hits, ["container", "term"], "chunk_id")
+    matched = measured_join(weighted, hits, ["container", "term"], "chunk_id", fit)
     gain = F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl")))
     )
@@ -61,9 +68,11 @@ def bm25(queries: DataFrame, index: Index, normalise: bool = True, k1: float = K
     raw = bm25_raw(queries, index, k1, b)
     if not normalise:
         return raw
+    # Read twice, for the best score and for the rows: stored once instead of scored twice.
+    raw = cut_lineage(raw)
     best = raw.groupBy("query_id", "container").agg(F.max("bm25_raw").alias("_best"))
     return raw.join(best, ["query_id", "container"]).withColumn(
-        "bm25", F.when(F.col("_best") > 0, F.col("bm25_raw") / F.col("_best")).otherwise(0.0)
+        "bm25", F.coalesce(F.try_divide("bm25_raw", "_best"), F.lit(0.0))
     ).drop("_best")
 
 
@@ -77,7 +86,7 @@ def bm25_top_k(queries: DataFrame, index: Index, k: int = 10, k1: float = K1, b:
                  spread="chunk_id")
     best = F.max("bm25_raw").over(Window.partitionBy("query_id", "container"))
     return kept.withColumn(
-        "bm25", F.when(best > 0, F.round(F.col("bm25_raw") / best, DIGITS)).otherwise(0.0)
+        "bm25", F.coalesce(F.round(F.try_divide(F.col("bm25_raw"), best), DIGITS), F.lit(0.0))
     )
 
 
@@ -125,7 +134,7 @@ def hybrid_search(queries: DataFrame, index: Index, k: int = 20, w_vec: float =
             "bm25_raw", F.coalesce("bm25_raw", F.lit(0.0))
         )
         best = F.max("bm25_raw").over(Window.partitionBy("query_id", "container"))
-        rows = rows.withColumn("bm25", F.when(best > 0, F.col("bm25_raw") / best).otherwise(0.0)).drop("bm25_raw")
+        rows = rows.withColumn("bm25", F.coalesce(F.try_divide(F.col("bm25_raw"), best), F.lit(0.0))).drop("bm25_raw")
         rows = rows.withColumn("score", F.round(w_vec * F.col("vector") + w_kw * F.col("bm25"), DIGITS))
         return _shown(_rank(rows, k))
     if mode != "full":

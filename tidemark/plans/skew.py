@@ -24,6 +24,24 @@ def salted_join(small: DataFrame, large: DataFrame, keys: Sequence[str], spread:
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+# A side of at most this many narrow rows may be copied to every task.
+BROADCAST_ROWS = 500_000
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def measured_join(small: DataFrame, large: DataFrame, keys: Sequence[str], spread: str,
+                  fit: bool) -> DataFrame:
+    """Broadcast ``small`` if it was measured to fit, so that ``large`` stays where it is; else
+    split every key over salts."""
+    if fit:
+        return large.join(F.broadcast(small), list(keys))
+    return salted_join(small, large, keys, spread)
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
           rank: str = "rank", spread: str | None = None, salts: int = SALTS) -> DataFrame:
     """First ``k`` rows of each ``by`` group, numbered from 1 in ``rank``.

@@ -13,6 +13,7 @@ from ..operators import report as rp
 from ..operators import runs as rn
 from ..operators import sampling as sm
 from ..operators import search as se
+from ..plans.scratch import cut_lineage
 from .base import Tables, query
 from .shapes import (BOARD_CTES, PHASE_CTES, QUESTION_CTE, RUNS_CTE, bm25_ctes, board_results, board_runs, corpus, items,
                      phase_log, questions, runs)
@@ -38,6 +39,8 @@ mm AS (SELECT query_id, hit_at_k, round(p, 6) AS precision_at_k, hit_at_k AS rec
 def _metrics(t: Tables) -> DataFrame:
     # A score floor leaves some items without hits; they stay in the result as empty questions.
     hits = se.bm25_top_k(items(t), ix.index_chunks(corpus(t)), 10).where(F.col("bm25_raw") >= 40)
+    # Search results are stored before they are judged.
+    hits = cut_lineage(hits)
     relevant = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     judged = t("labels").select(F.col("doc_id").alias("chunk_id"), relevant.alias("relevant"))
     labels = hits.select("query_id", "chunk_id").join(judged, "chunk_id")

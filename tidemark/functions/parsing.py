@@ -42,17 +42,18 @@ def parse_verdict(text: Column) -> Column:
     without usable JSON are correct when they quote "correct" and nowhere "incorrect".
     """
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    doc = F.try_parse_json(F.when(body != "", body))
+    # Inside brackets the parser also rejects text after the first object.
+    doc = F.try_parse_json(F.when(body != "", F.concat(F.lit("["), body, F.lit("]"))))
     low = F.lower(text)
     guess = low.contains('"correct"') & ~low.contains('"incorrect"')
 
     def parsed(v: Column) -> Column:
-        is_number = ~F.schema_of_variant(F.try_variant_get(v, "$.score", "variant")).isin("STRING", "BOOLEAN")
-        score = F.when(is_number, F.try_variant_get(v, "$.score", "double"))
-        label = F.try_variant_get(v, "$.label", "string")
-        note = F.try_variant_get(v, "$.explanation", "string")
+        is_number = ~F.schema_of_variant(F.try_variant_get(v, "$[0].score", "variant")).isin("STRING", "BOOLEAN")
+        score = F.when(is_number, F.try_variant_get(v, "$[0].score", "double"))
+        label = F.try_variant_get(v, "$[0].label", "string")
+        note = F.try_variant_get(v, "$[0].explanation", "string")
         return F.when(
-            v.isNotNull(),
+            v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(),
             F.struct(
                 F.when(score == 1, 1).otherwise(0).alias("score"),
                 F.when(label == "correct", "correct").otherwise("incorrect").alias("label"),
@@ -72,7 +73,8 @@ def parse_verdict(text: Column) -> Column:
 def parse_json_array(text: Column, element: str) -> Column:
     """The widest ``[…]`` as an array of ``element`` (a DDL struct); null when it cannot be read."""
     body = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    return F.from_json(F.when(body != "", body), f"array<{element}>")
+    rows = F.from_json(F.when(body != "", F.concat(F.lit("["), body, F.lit("]"))), f"array<array<{element}>>")
+    return F.when(F.size(rows) == 1, F.get(rows, F.lit(0)))
 
 
 def safe_json(text: Column, schema: str, default: Column | None = None) -> Column:

@@ -162,7 +162,9 @@ def _run_splitter(text: Column, size: int, cut: Callable[[Column], Column], over
                 at = state["at"]
 
                 def advance(window: Column) -> Column:
-                    rest = total - at
+                    # The first step still sees the blanks at the end of the text.
+                    rest = F.when(at == 0, F.length(txt)).otherwise(total - at) if skip_space else total - at
+                    whole = rest <= size
 
                     def emit(taken: Column) -> Column:
                         piece = F.substring(window, F.lit(1), taken)
@@ -173,14 +175,12 @@ def _run_splitter(text: Column, size: int, cut: Callable[[Column], Column], over
                                 F.regexp_replace(F.substring(window, taken + 1, F.lit(reach)), r"^\s+", "")
                             ) - taken
                             jump = jump + gap
-                        last = rest <= taken
                         return F.struct(
                             jump.cast("int").alias("at"),
-                            (last | (jump >= total)).alias("done"),
+                            (whole | (jump >= total)).alias("done"),
                             F.concat(state["parts"], F.array(piece)).alias("parts"),
                         )
 
-                    whole = rest <= size
                     return let(F.when(whole, rest).otherwise(cut(window)).cast("int"), emit)
 
                 return F.when(state["done"], state).otherwise(

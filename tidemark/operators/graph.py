@@ -176,6 +176,9 @@ def khop(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
         entities.select("container", "name", "type", "summary"), ["container", "name"]
     )
     nodes = top_k(nodes, key, order, cap_nodes, "pos").drop("path")
+    # An edge is crossed once from each end at most, so the first 2 * cap crossings hold the first
+    # cap edges.
+    seen_edges = top_k(seen_edges, key, order, 2 * cap_edges, "_n", spread="edge").drop("_n")
     once = seen_edges.groupBy(*key, "edge").agg(F.min(F.struct("hop", "path")).alias("_at"))
     once = once.select(*key, "edge", F.col("_at.hop").alias("hop"), F.col("_at.path").alias("path"))
     rels = top_k(once, key, order, cap_edges, "pos")

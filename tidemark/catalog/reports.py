@@ -294,7 +294,7 @@ def stratified_sample(t: Tables) -> DataFrame:
                                type_col="o_orderpriority", pos="o_orderkey", id_col="o_orderkey")
 
 
-@query("random_sample")
+@query("random_sample", """SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|7'), doc_id) <= 20""")
 def random_sample(t: Tables) -> DataFrame:
     return sm.sample_questions(t("documents").select("doc_id", "lang"), "sample", per_category=20, seed=7, type_col="lang",
                                pos="doc_id", id_col="doc_id")

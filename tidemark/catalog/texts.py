@@ -13,7 +13,7 @@ from ..operators import index as ix
 from ..operators import infer as nf
 from ..operators import migrate as mg
 from ..operators import search as se
-from ..plans.skew import first_row
+from ..plans.skew import first_row, spread_few_files
 from ..sources.datasets import category_type, role_of_name
 from .base import Tables, query
 from .shapes import PHASE_CTES, bm25_ctes, corpus, items, phase_log
@@ -25,6 +25,10 @@ def _last(window: str, mark: str, n: int = 1) -> str:
     return f"(CASE WHEN {hit} > 0 THEN length({window}) - {n} - {hit} + 1 ELSE -1 END)"
 
 
+def _documents(t: Tables) -> DataFrame:
+    return spread_few_files(t("documents").select("doc_id", "text"), "doc_id")
+
+
 def _messages(t: Tables) -> DataFrame:
     return t("conversations").select(F.lit("talk").alias("container"), F.col("conv_id").alias("session_id"), "turn",
                                      role_of_name(F.col("role")).alias("role"), "text")
@@ -86,12 +90,12 @@ _NUMBERED = "CAST(row_number() OVER (PARTITION BY id ORDER BY step) - 1 AS BIGIN
 
 @query("sentence_chunks", f"WITH {_sentence_sql('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, {_NUMBERED}")
 def sentence_chunks(t: Tables) -> DataFrame:
-    return tx.chunk_rows(t("documents").select("doc_id", "text"), "text", "sentence")
+    return tx.chunk_rows(_documents(t), "text", "sentence")
 
 
 @query("sentence_chunks_small", f"WITH {_sentence_sql('SELECT doc_id AS id, text FROM documents', 200, 40)} SELECT id AS doc_id, {_NUMBERED}")
 def sentence_chunks_small(t: Tables) -> DataFrame:
-    return tx.chunk_rows(t("documents").select("doc_id", "text"), "text", "sentence", size=200, overlap=40)
+    return tx.chunk_rows(_documents(t), "text", "sentence", size=200, overlap=40)
 
 
 @query("conversation_chunks", f"""WITH {_sentence_sql("SELECT session_id AS id, content AS text FROM (" + _TALK + ")")}
@@ -116,14 +120,14 @@ parts AS (SELECT doc_id, step, substring(text, p + 1, took) AS content FROM c WH
 CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN doc_id::VARCHAR ELSE doc_id || '_c' || (step - 1) END AS sid FROM parts""")
 def line_chunks(t: Tables) -> DataFrame:
     parts = tx.line_chunks(F.col("text"))
-    rows = t("documents").select("doc_id", F.size(parts).alias("n_chunks"), F.posexplode(parts).alias("i", "content"))
+    rows = _documents(t).select("doc_id", F.size(parts).alias("n_chunks"), F.posexplode(parts).alias("i", "content"))
     rows = rows.withColumn("chunk_index", F.col("i").cast("bigint")).drop("i")
     return mg.chunk_ids(rows, "doc_id").drop("n_chunks")
 
 
 @query("line_chunks_small", _line_sql(300, 0.5) + " SELECT doc_id, CAST(step - 1 AS BIGINT) AS chunk_index, content FROM parts")
 def line_chunks_small(t: Tables) -> DataFrame:
-    return tx.chunk_rows(t("documents").select("doc_id", "text"), "text", "line", size=300, fill=0.5)
+    return tx.chunk_rows(_documents(t), "text", "line", size=300, fill=0.5)
 
 
 def _message_sql(size: int) -> str:
@@ -142,12 +146,12 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS
 
 @query("message_chunks", _message_sql(9500))
 def message_chunks(t: Tables) -> DataFrame:
-    return tx.chunk_rows(t("documents").select("doc_id", "text"), "text", "message")
+    return tx.chunk_rows(_documents(t), "text", "message")
 
 
 @query("message_chunks_small", _message_sql(400))
 def message_chunks_small(t: Tables) -> DataFrame:
-    return tx.chunk_rows(t("documents").select("doc_id", "text"), "text", "message", size=400)
+    return tx.chunk_rows(_documents(t), "text", "message", size=400)
 
 
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -442,8 +446,12 @@ def containment_judge(t: Tables) -> DataFrame:
     return phase_log(t).select("run_id", "question_id", "phase", nf.containment_judge(F.col("run_id"), answer).alias("verdict"))
 
 
-@query("embed_documents")
+@query("embed_documents", """WITH k AS (SELECT doc_id, md5(t) AS h FROM (
+  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS t FROM documents) WHERE t <> ''),
+b AS (SELECT doc_id, CAST('0x' || substring(h, 1, 2) AS INT) % 64 AS i, sum(CASE WHEN CAST('0x' || substring(h, 10, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS v
+  FROM k GROUP BY ALL)
+SELECT doc_id, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 3) AS v FROM b WHERE v <> 0""")
 def embed_documents(t: Tables) -> DataFrame:
-    out = nf.embed(t("documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", F.size("embedding").alias("width"),
-                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
+    out = nf.embed(_documents(t), "text")
+    flat = out.select("doc_id", F.posexplode("embedding").alias("i", "_v")).where(F.col("_v") != 0)
+    return flat.select("doc_id", "i", F.round(F.col("_v").cast("double"), 3).alias("v"))

@@ -83,7 +83,7 @@ def _top(chunk_ids: pa.Array, chunk_vectors, query_ids: pa.Array, query_vectors,
     chunk_ids = chunk_ids.take(order)
     vector = cosine_block(chunk_vectors.take(order), query_vectors)
     keyword = np.zeros_like(vector)
-    if pairs is not None and len(pairs[0]):
+    if pairs is not None and len(pairs[2]):
         rows = pc.index_in(pairs[1], chunk_ids).to_numpy(zero_copy_only=False)
         cols = pc.index_in(pairs[0], query_ids).to_numpy(zero_copy_only=False)
         keyword[rows.astype(np.int64), cols.astype(np.int64)] = pairs[2]
@@ -181,20 +181,24 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None,
         .select("container", spread("chunk_id", "_cn").alias("_cb"), every("_qn").alias("_qb"),
                 "chunk_id", "embedding")
     )
-    none_id = F.lit(None).cast(chunks.schema["chunk_id"].dataType)
-    none_vec = F.lit(None).cast(queries.schema["embedding"].dataType)
+    id_type = chunks.schema["chunk_id"].dataType.simpleString()
     right = (
         queries.select("query_id", "container", "embedding").join(sizes, "container")
         .select("container", every("_cn").alias("_cb"), spread("query_id", "_qn").alias("_qb"),
-                "query_id", "embedding", none_id.alias("chunk_id"), F.lit(None).cast("double").alias("bm25"))
+                "query_id", "embedding", F.lit(None).cast(f"array<{id_type}>").alias("ids"),
+                F.lit(None).cast("array<double>").alias("bm25"))
     )
     if pairs is not None:
-        right = right.unionByName(
+        # One row per query and block, which cannot hold more entries than the block has chunks.
+        packed = (
             pairs.join(sizes, "container")
-            .select("container", spread("chunk_id", "_cn").alias("_cb"),
-                    spread("query_id", "_qn").alias("_qb"), "query_id", none_vec.alias("embedding"),
-                    "chunk_id", "bm25")
+            .select("container", spread("chunk_id", "_cn").alias("_cb"), spread("query_id", "_qn").alias("_qb"),
+                    "query_id", F.struct("chunk_id", "bm25").alias("_p"))
+            .groupBy("container", "_cb", "_qb", "query_id").agg(F.collect_list("_p").alias("_p"))
         )
+        right = right.unionByName(packed.select(
+            "container", "_cb", "_qb", "query_id", F.lit(None).cast(queries.schema["embedding"].dataType).alias("embedding"),
+            F.col("_p.chunk_id").alias("ids"), F.col("_p.bm25").alias("bm25")))
     schema = _schema(queries, chunks)
     out = _arrow_schema(schema)
 
@@ -204,8 +208,10 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None,
         is_query = pc.is_null(q.column("bm25"))
         heads = q.filter(is_query)
         tail = q.filter(pc.invert(is_query))
-        sparse = (_one(tail.column("query_id")), _one(tail.column("chunk_id")),
-                  _one(tail.column("bm25")).to_numpy(zero_copy_only=False))
+        ids = _one(tail.column("ids"))
+        owner = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy(zero_copy_only=False))
+        sparse = (_one(tail.column("query_id")).take(pa.array(owner)), ids.flatten(),
+                  _one(tail.column("bm25")).flatten().to_numpy(zero_copy_only=False))
         return _top(
             _one(c.column("chunk_id")), _one(c.column("embedding")), _one(heads.column("query_id")),
             _one(heads.column("embedding")), key[0].as_py(), k, w_vec, w_kw, sparse, out,

@@ -158,15 +158,21 @@ def khop(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
     frontier = seeds.groupBy(*key, "name").agg(F.array(F.min("ord").cast("bigint")).alias("path"))
     frontier = frontier.withColumn("hop", F.lit(0))
     links = adjacency(dedup_edges(edges))
-    visited, seen_edges = frontier, None
+    # An edge is crossed once from each end at most, so a query's first 2 * cap crossings hold its
+    # first cap edges, and no node adds more than its own first 2 * cap. Nodes follow all links.
+    listed = top_k(links, ["container", "node"], [F.col("ord")], 2 * cap_edges, "_n", spread="other").drop("_n")
+
+    def step(over: DataFrame) -> DataFrame:
+        here = frontier.select(*key, F.col("name").alias("node"), "path")
+        return salted_join(here, over, ["container", "node"], "other").withColumn(
+            "path", F.concat("path", F.array(F.col("ord").cast("bigint"))))
+
+    visited, crossed = frontier, None
     for hop in range(1, hops + 1):
-        steps = salted_join(
-            frontier.select(*key, F.col("name").alias("node"), "path"), links, ["container", "node"], "other"
-        ).withColumn("path", F.concat("path", F.array(F.col("ord").cast("bigint"))))
-        crossed = steps.select(*key, "edge", "path", F.lit(hop).alias("hop"))
-        seen_edges = crossed if seen_edges is None else seen_edges.unionByName(crossed)
+        here = step(listed).select(*key, "edge", "path", F.lit(hop).alias("hop"))
+        crossed = here if crossed is None else crossed.unionByName(here)
         frontier = (
-            steps.groupBy(*key, F.col("other").alias("name")).agg(F.min("path").alias("path"))
+            step(links).groupBy(*key, F.col("other").alias("name")).agg(F.min("path").alias("path"))
             .join(visited.select(*key, "name"), [*key, "name"], "left_anti")
             .withColumn("hop", F.lit(hop))
         )
@@ -176,10 +182,8 @@ def khop(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
         entities.select("container", "name", "type", "summary"), ["container", "name"]
     )
     nodes = top_k(nodes, key, order, cap_nodes, "pos").drop("path")
-    # An edge is crossed once from each end at most, so the first 2 * cap crossings hold the first
-    # cap edges.
-    seen_edges = top_k(seen_edges, key, order, 2 * cap_edges, "_n", spread="edge").drop("_n")
-    once = seen_edges.groupBy(*key, "edge").agg(F.min(F.struct("hop", "path")).alias("_at"))
+    crossed = top_k(crossed, key, order, 2 * cap_edges, "_n", spread="edge").drop("_n")
+    once = crossed.groupBy(*key, "edge").agg(F.min(F.struct("hop", "path")).alias("_at"))
     once = once.select(*key, "edge", F.col("_at.hop").alias("hop"), F.col("_at.path").alias("path"))
     rels = top_k(once, key, order, cap_edges, "pos")
     return nodes, rels.select(*key, "edge.source", "edge.relation", "edge.target", "hop", "pos")

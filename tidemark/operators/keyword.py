@@ -45,7 +45,7 @@ def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
             "container", "term", "word", uses.cast("bigint").alias("uses"))
     )
     per_term = (
-        measured_join(term_words, words, ["container", "word"], "doc_id", fits(term_words, 4 * BROADCAST_ROWS))
+        measured_join(term_words, words, ["container", "word"], "doc_id", fits(term_words, 2 * BROADCAST_ROWS))
         .groupBy("container", "term", "doc_id")
         .agg(F.sum(F.col("uses") * F.col("tf")).alias("uses"))
     )

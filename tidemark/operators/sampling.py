@@ -22,6 +22,6 @@ def sample_questions(df: DataFrame, mode: str = "full", per_category: int | None
         if seed is None:
             order = [F.col(pos)]
         else:
-            order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
+            order = [F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))), F.col(id_col)]
         return top_k(df, [type_col], order, per_category, "_pick", spread=id_col).drop("_pick")
     return df

@@ -42,6 +42,15 @@ def measured_join(small: DataFrame, large: DataFrame, keys: Sequence[str], sprea
     return salted_join(small, large, keys, spread)
 
 
+def spread_few_files(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a scan of fewer files than cores; larger scans stay as they are.
+
+    A single file may be one row group, which one task reads whole.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if len(df.inputFiles()) < cores else df
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
           rank: str = "rank", spread: str | None = None, salts: int = SALTS) -> DataFrame:
     """First ``k`` rows of each ``by`` group, numbered from 1 in ``rank``.

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.scratch import scratch_path
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table; any path that Spark can read."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: later steps neither repeat it nor lose it with an
+    executor."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

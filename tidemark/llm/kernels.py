@@ -88,9 +88,10 @@ def owners(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets[1:], positions, "right")
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, text) of every word, a run without ASCII white space inside one text."""
-    ink = ~SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, text) of every word, a run without ``gap`` bytes (ASCII white space) inside one text."""
+    ink = ~gap[data]
     begins, ends = ink.copy(), ink.copy()
     begins[1:] &= ~ink[:-1]
     ends[:-1] &= ~ink[1:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, quality
+from . import decontaminate, neardup, pii, quality
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,9 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_benchmark_decontamination")
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op1_pii_weak_supervision")
+def op1_pii_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find(docs, pii.train(docs))

@@ -29,7 +29,7 @@ def fit(rows: np.ndarray, index: np.ndarray, value: np.ndarray, target: np.ndarr
         rounds: int = 120, rate: float = 0.5, ridge: float = 1e-4, held_out: np.ndarray | None = None) -> Linear:
     """Fit P(target = 1) on sparse rows (row, feature, value) by full-batch Adam steps.
 
-    Classes weigh alike. ``held_out`` marks rows that only fit the calibration line (two Newton-fitted numbers).
+    Targets may lie between 0 and 1. Classes weigh alike. ``held_out`` marks rows that only fit the calibration line (two Newton-fitted numbers).
     With no row of one class the model is constant: the share of ones.
     """
     n = len(target)
@@ -38,7 +38,7 @@ def fit(rows: np.ndarray, index: np.ndarray, value: np.ndarray, target: np.ndarr
         share = float(np.clip(target.mean() if n else 0.5, 1e-3, 1 - 1e-3))
         return Linear(np.zeros(size), float(np.log(share / (1 - share))))
     share = target[~held].mean()
-    balance = np.where(held, 0.0, np.where(target == 1, 0.5 / share, 0.5 / (1 - share)))
+    balance = np.where(held, 0.0, target * 0.5 / share + (1 - target) * 0.5 / (1 - share))
     balance /= balance.sum()
     weights, bias = np.zeros(size), 0.0
     first, second = np.zeros(size + 1), np.zeros(size + 1)

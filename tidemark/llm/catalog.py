@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, pii, quality
+from . import decontaminate, neardup, packing, pii, quality
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op1_pii_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pii.find(docs, pii.train(docs))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))

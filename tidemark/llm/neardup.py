@@ -111,20 +111,27 @@ def _likely(pairs: DataFrame, sift: float) -> DataFrame:
     return pairs.mapInArrow(estimate, "hub bigint, node bigint")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
-    """Consecutive rows with equal keys; holds one group."""
-    held: list[dict] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with equal (non-null) keys as one batch; holds one group, as Arrow slices."""
+    held: list[pa.RecordBatch] = []
     name = None
     for batch in batches:
-        for row in batch.to_pylist():
-            own = tuple(row[k] for k in keys)
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new), batch.num_rows]
+        for x, y in zip(edges, edges[1:]):
+            own = tuple(c[x] for c in columns)
             if own != name and held:
-                yield held
+                yield pa.concat_batches(held)
                 held = []
             name = own
-            held.append(row)
+            held.append(batch.slice(x, y - x))
     if held:
-        yield held
+        yield pa.concat_batches(held)
 
 
 def _linked(common: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -166,7 +173,7 @@ def _meet(members: DataFrame, payload: DataFrame, column: str, compare: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["bucket", "i", "j"]):
-            if len(group) > 1:
+            if group.num_rows > 1:
                 yield from compare(group)
 
     return met.mapInArrow(run, schema)
@@ -174,55 +181,44 @@ def _meet(members: DataFrame, payload: DataFrame, column: str, compare: Callable
 
 def _maybe(sift: float, percent: int) -> Callable:
     """Members with a partner of another component that their registers do not rule out."""
-    def compare(group: list[dict]) -> Iterator[pa.RecordBatch]:
-        cells = np.stack([np.frombuffer(r["registers"], np.uint16) for r in group])
-        sizes = np.array([r["n_shingles"] for r in group])
-        home = np.array([r["component"] for r in group])
-        kept = np.zeros(len(group), bool)
-        for k in range(len(group)):
+    def compare(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cells = _cells(group.column("registers"))
+        sizes, home = group.column("n_shingles").to_numpy(), group.column("component").to_numpy()
+        kept = np.zeros(len(sizes), bool)
+        for k in range(len(sizes)):
             fits = (home != home[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
             at = np.flatnonzero(fits)
             at = at[(cells[at] == cells[k]).sum(axis=1) >= (sift - 0.05) * cells.shape[1]]
             if len(at):
                 kept[k] = kept[at] = True
-        at = np.flatnonzero(kept)
-        yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array([group[k]["bucket"] for k in at], pa.int64()),
-            "node": pa.array([group[k]["node"] for k in at], pa.int64())})
+        yield group.select(["bucket", "node"]).filter(pa.array(kept))
 
     return compare
 
 
 def _exact(percent: int) -> Callable:
     """Links between members of different components; one link suffices to join two components of a meeting."""
-    def compare(group: list[dict]) -> Iterator[pa.RecordBatch]:
-        home = {r["component"]: r["component"] for r in group}
-
-        def root(x: int) -> int:
-            while home[x] != x:
-                home[x] = home[home[x]]
-                x = home[x]
-            return x
-
-        flat, place = np.unique(np.concatenate([np.asarray(r["shingles"], np.int64) for r in group]), return_inverse=True)
-        sizes = np.array([r["n_shingles"] for r in group])
+    def compare(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, sizes = group.column("node").to_numpy(), group.column("n_shingles").to_numpy()
+        _, home = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        # Components of this meeting; joining two renames one of them in ``home``.
+        _, place = np.unique(group.column("shingles").flatten().to_numpy(), return_inverse=True)
         edge = np.concatenate([[0], np.cumsum(sizes)])
-        held = np.zeros(len(flat), bool)
+        held = np.zeros(place.max() + 1, bool)
         u, v = [], []
-        for k in range(len(group) - 1):
-            rest = np.array([root(r["component"]) for r in group[k + 1:]]) != root(group[k]["component"])
+        for k in range(len(node) - 1):
+            rest = home[k + 1:] != home[k]
             if not rest.any():
                 continue
             mine = place[edge[k]:edge[k + 1]]
             held[mine] = True
-            common = np.add.reduceat(held[place[edge[k + 1]:]].astype(np.int64), edge[k + 1:-1] - edge[k + 1])
+            common = np.add.reduceat(held[place[edge[k + 1]:]], edge[k + 1:-1] - edge[k + 1], dtype=np.int64)
             held[mine] = False
             for m in np.flatnonzero(rest & _linked(common, sizes[k], sizes[k + 1:], percent)) + k + 1:
-                a, b = root(group[k]["component"]), root(group[m]["component"])
-                if a != b:
-                    home[max(a, b)] = min(a, b)
-                    u.append(group[k]["node"])
-                    v.append(group[m]["node"])
+                if home[m] != home[k]:
+                    home[home == home[m]] = home[k]
+                    u.append(node[k])
+                    v.append(node[m])
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return compare

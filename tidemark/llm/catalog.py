@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, neardup, packing, pii, quality, secrets
+from . import decontaminate, langid, licences, neardup, packing, pii, quality, secrets, urls
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,14 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return secrets.find(docs, secrets.calibrate(docs))
+
+
+@query("op9_url_filters")
+def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    model = urls.train(spark.createDataFrame(list(urls.LABELLED), "url string, label int"))
+    return urls.judge(table(spark, folder, "pages"), model)
+
+
+@query("op2_licence_scan", licences.ORACLE_SQL)
+def op2_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(licences.document_paths(table(spark, folder, "documents")), key="doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licences, neardup, packing, pii, quality, secrets, urls
+from . import decontaminate, langid, licences, neardup, packing, pii, quality, repeats, secrets, urls
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_licence_scan", licences.ORACLE_SQL)
 def op2_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(licences.document_paths(table(spark, folder, "documents")), key="doc_id")
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")

@@ -1,26 +1,64 @@
-"""Training-corpus pipeline: stages that each hand a documents table to the next."""
+"""Training-corpus pipeline: quality, near duplicates, test leaks, personal data, packing.
+
+Each stage takes a documents table and hands one with the same columns on, but for the last, which returns the packed
+pieces. Stages that look at one document at a time filter or rewrite its row where it lies, so rows without or with
+repeated ids are treated as any other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality
-from tidemark.llm.tables import table
+from tidemark.llm import decontaminate, neardup, packing, pii, quality
+from tidemark.llm.tables import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality rules accept."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs.join(quality.score(docs, model).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near duplicates; repeated rows once."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept id")).distinct()
+    body = "hash of text"
+    return (
+        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept id")), "left_semi")
+        .withColumn(body, F.xxhash64("text")).dropDuplicates(["doc_id", body]).drop(body)
+    )
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; n_chars follows the text."""
+    out = pii.redact(docs, pii.train(docs))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in out.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+# Trained verdicts and the tokenizer are not SQL; the tests compare with plain Python instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's rows are written before the next reads them."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -190,6 +190,18 @@ def _share(part: tuple[int, np.ndarray], words: np.ndarray) -> float:
     return float(np.isin(wanted, shingle_hashes(words, np.zeros(len(words), np.int64), width)[0]).mean())
 
 
+def _hits(texts: pa.Array, classes: list[LengthClass], threshold: float,
+          overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """(row, item id, score, question overlap, answer overlap) of one batch of lower-case texts."""
+    for first, stop, data, offsets in text_slices(texts):
+        words, owner = _words(data, offsets)
+        for index in classes if len(words) else ():
+            for text, a, b, item, score in search(index, words, owner, stop - first, threshold):
+                parts = [_share(part[item], words[a:b]) for part in (index.question, index.answer)]
+                if min(parts) >= overlap:
+                    yield first + text, int(index.items[item]), score, *parts
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document that holds a test item.
 
@@ -207,23 +219,29 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows: list[tuple] = []
-                ids = batch.column("doc_id")
-                for first, stop, data, offsets in text_slices(batch.column("text")):
-                    words, owner = _words(data, offsets)
-                    if not len(words):
-                        continue
-                    for index in shared.value:
-                        for text, a, b, item, score in search(index, words, owner, stop - first, threshold):
-                            parts = [_share(part[item], words[a:b]) for part in (index.question, index.answer)]
-                            if min(parts) >= overlap:
-                                rows.append((ids[first + text].as_py(), int(index.items[item]), score, *parts))
+                rows = list(_hits(batch.column("text"), shared.value, threshold, overlap))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                    [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()),
                      *(pa.array(c, pa.float64()) for c in columns[2:])],
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = found.union(texts.mapInArrow(scan, schema))
     return found.groupBy("doc_id", "item_id").agg(*(
         F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item."""
+    lowered = "lower of text"
+    for classes in build_parts(items):
+        shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+        def sift(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = np.zeros(batch.num_rows, bool)
+                hit[[h[0] for h in _hits(batch.column(lowered), shared.value, threshold, overlap)]] = True
+                yield batch.drop_columns([lowered]).filter(pa.array(~hit))
+
+        docs = docs.withColumn(lowered, F.lower("text")).mapInArrow(sift, docs.schema)
+    return docs

@@ -123,6 +123,29 @@ def _repeated_words(words: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return per_text(marked, owner, n).astype(np.int64)
 
 
+def _judged(texts: pa.Array, linear: Linear, threshold: float) -> dict[str, np.ndarray]:
+    """Counts and verdicts of one batch of texts."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "p_good")
+    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0),) * len(names)]
+    for first, stop, data, offsets in text_slices(texts):
+        n = stop - first
+        starts, stops, owner, words = _read(data, offsets)
+        inked = ~SPACE[data] & ((data & 0xC0) != 0x80)
+        chars = np.diff(np.concatenate([[0], np.cumsum(inked)])[offsets])
+        signs = np.diff(np.concatenate([[0], np.cumsum(SYMBOLS[data])])[offsets])
+        count = np.bincount(owner, minlength=n)
+        margin = np.zeros(n)
+        for who, place in _features(data, offsets, words, owner):
+            margin += per_text(linear.weights[place], who, n) / np.maximum(np.bincount(who, minlength=n), 1)
+        parts.append((count, chars, signs, _repeated_lines(data, offsets), _repeated_words(words, owner, n),
+                      linear.probability(margin)))
+    out = dict(zip(names, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+    out |= {name: out[name].astype(np.int64) for name in names[:-1]}
+    out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
+    out["kept"] = ~out["base_failed"] & (out["p_good"] >= threshold)
+    return out
+
+
 def score(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
     """Every document's counts and verdict, in one pass without a shuffle.
 
@@ -130,34 +153,25 @@ def score(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
     empty text has no words and fails the base rule. Texts are read whole; repeated rows get equal results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linear: Linear = shared.value
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for first, stop, data, offsets in text_slices(batch.column("text")):
-                n = stop - first
-                starts, stops, owner, words = _read(data, offsets)
-                inked = ~SPACE[data] & ((data & 0xC0) != 0x80)
-                chars = np.diff(np.concatenate([[0], np.cumsum(inked)])[offsets])
-                signs = np.diff(np.concatenate([[0], np.cumsum(SYMBOLS[data])])[offsets])
-                count = np.bincount(owner, minlength=n)
-                margin = np.zeros(n)
-                for who, place in _features(data, offsets, words, owner):
-                    total = np.bincount(who, minlength=n)
-                    margin += per_text(linear.weights[place], who, n) / np.maximum(total, 1)
-                parts.append((count, chars, signs, _repeated_lines(data, offsets), _repeated_words(words, owner, n),
-                              linear.probability(margin)))
-            if not parts:
-                continue
-            count, chars, signs, lines, repeats, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            failed = (count < 50) | (100 * repeats > 50 * count)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (count, chars, signs, lines, repeats)),
-                 pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       "kept", "p_good"])
+            found = _judged(batch.column("text"), shared.value, threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[n]) for n in names)],
+                                             names=["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         judge, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
                "n_repeat_words bigint, base_failed boolean, kept boolean, p_good double")
+
+
+def accepted(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_judged(batch.column("text"), shared.value, threshold)["kept"]))
+
+    return docs.mapInArrow(sift, docs.schema)

@@ -11,7 +11,7 @@ from ..operators import index as ix
 from ..operators import search as se
 from ..operators.keyword import keyword_search
 from .base import Tables, query
-from .shapes import D_CORPUS, bm25_ctes, corpus, corpus_by_source, corpus_with_vectors, items, items_with_vectors
+from .shapes import D_CORPUS, bm25_ctes, corpus, corpus_by_source, corpus_with_vectors, items, items_with_vectors, one_container
 
 _TOP = "row_number() OVER (PARTITION BY query_id, container ORDER BY {0} DESC, chunk_id)"
 
@@ -139,7 +139,7 @@ s AS (SELECT q.query_id, d.doc_id, CAST(coalesce(match_count, 0) AS BIGINT) AS m
 SELECT query_id, 'src' AS container, doc_id, score, match_count,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_count DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def keyword_coverage_topk(t: Tables) -> DataFrame:
-    docs = t("documents").select(F.substring("source", 1, 3).alias("container"), "doc_id", "text")
+    docs = t("documents").select(one_container("doc_id").alias("container"), "doc_id", "text")
     return keyword_search(items(t), docs, 10)
 
 

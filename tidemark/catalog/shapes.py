@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
@@ -13,9 +13,17 @@ from .base import Tables
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
 
+def one_container(key: str) -> Column:
+    """The container that holds all rows; rows without a key are in none.
+
+    A plain literal would be folded away and with it the equi-join on the container.
+    """
+    return F.when(F.col(key).isNotNull(), "src")
+
+
 def corpus(t: Tables) -> DataFrame:
-    """All documents in one container, named by the letters all sources share."""
-    return t("documents").select(F.substring("source", 1, 3).alias("container"), F.col("doc_id").alias("chunk_id"),
+    """All documents in one container."""
+    return t("documents").select(one_container("doc_id").alias("container"), F.col("doc_id").alias("chunk_id"),
                                  F.col("text").alias("content"))
 
 
@@ -25,7 +33,7 @@ def corpus_by_source(t: Tables) -> DataFrame:
 
 
 def items(t: Tables) -> DataFrame:
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.lit("src").alias("container"), "text")
+    return t("benchmark").select(F.col("item_id").alias("query_id"), one_container("item_id").alias("container"), "text")
 
 
 def corpus_with_vectors(t: Tables) -> DataFrame:

@@ -106,6 +106,11 @@ def repo_container(name: Column) -> Column:
     return F.concat(F.lit("repo-"), F.regexp_replace(F.lower(name), "[^a-z0-9-]", "-"))
 
 
+def question_container(question_id: Column, run: Column) -> Column:
+    """Container of one question in one data source run: ``{question}-{run}``."""
+    return F.concat(question_id.cast("string"), F.lit("-"), run.cast("string"))
+
+
 def safe_id(name: Column) -> Column:
     """Replace everything outside ``[A-Za-z0-9_-]`` by an underscore."""
     return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")

@@ -21,14 +21,18 @@ NEIGHBOUR_CAP = 30
 RELATION_STOP = 200
 
 
-def merge_entities(mentions: DataFrame, order: str = "ord", always_append: bool = False) -> DataFrame:
+def merge_entities(mentions: DataFrame, order: str = "ord", always_append: bool = False,
+                   most: int = SUMMARY_CHARS, prefix: int = PREFIX_CHARS) -> DataFrame:
     """Fold mentions ``(container, name, type, summary, session_id, ord)`` into one row per entity.
 
-    The first type wins, lower-cased. A summary is appended unless its first 40 characters already
-    occur, and the text is cut at 500 characters; ``always_append`` skips that test.
+    The first type wins, lower-cased. The first summary is taken in full. A later one is appended
+    unless its first ``prefix`` characters already occur, and an append cuts the text at ``most``
+    characters; ``always_append`` skips that test.
 
     The fold is exact on few rows: an append adds at least one character, and a later row with a
     prefix seen before never changes the text. Only the rows that can still matter are gathered.
+    A first summary of ``most`` characters or more is cut by the first append and never changes
+    again, so for those it only matters whether any row appends.
     ``n_sessions`` counts distinct sessions (all rows with ``always_append``); the session list
     itself is ``entity_sessions``.
     """
@@ -40,25 +44,36 @@ def merge_entities(mentions: DataFrame, order: str = "ord", always_append: bool
         F.min(order).alias("_first"),
         (F.count("*") if always_append else F.count_distinct("session_id")).alias("n_sessions"),
     )
-    short = rows.select(*by, order, F.substring("summary", 1, SUMMARY_CHARS).alias("summary"))
+    heads = first_row(rows.select(*by, order, "summary"), by, [F.col(order)])
+    large = heads.where(F.length("summary") >= most).select(
+        *by, F.col(order).alias("_at"), F.col("summary").alias("_text"))
+    appends = F.col(order) > F.col("_at")
+    if not always_append:
+        appends = appends & (F.col("summary") != "") & ~F.col("_text").contains(F.substring("summary", 1, prefix))
+    cut = rows.join(large.select(*by, "_at", "_text"), by).groupBy(*by).agg(F.bool_or(appends).alias("_cut"))
+    settled = large.join(cut, by).select(
+        *by, F.when(F.col("_cut"), F.substring("_text", 1, most)).otherwise(F.col("_text")).alias("summary"))
+
+    short = rows.join(large.select(*by), by, "left_anti").select(
+        *by, order, F.substring("summary", 1, most).alias("summary"))
     if always_append:
-        kept = top_k(short, by, [F.col(order)], SUMMARY_CHARS + 1, "_n", spread=order).drop("_n")
+        kept = top_k(short, by, [F.col(order)], most + 1, "_n", spread=order).drop("_n")
     else:
         distinct = first_row(
-            short.withColumn("_prefix", F.substring("summary", 1, PREFIX_CHARS)),
+            short.withColumn("_prefix", F.substring("summary", 1, prefix)),
             [*by, "_prefix"], [F.col(order)],
         )
-        # At most 500 * 40 different substrings of a 500-character text are skipped, and at most
-        # 500 rows append, before nothing can change any more.
-        bound = SUMMARY_CHARS * PREFIX_CHARS + SUMMARY_CHARS + 1
+        # At most most * prefix different substrings of such a text are skipped, and at most
+        # ``most`` rows append, before nothing can change any more.
+        bound = most * prefix + most + 1
         kept = top_k(distinct.drop("_prefix"), by, [F.col(order)], bound, "_n", spread=order).drop("_n")
 
     def append(acc, row):
         text = row["summary"]
-        joined = F.substring(F.concat(acc, F.lit(" "), text), 1, SUMMARY_CHARS)
+        joined = F.substring(F.concat(acc, F.lit(" "), text), 1, most)
         if always_append:
             return joined
-        new = (text != "") & ~acc.contains(F.substring(text, 1, PREFIX_CHARS))
+        new = (text != "") & ~acc.contains(F.substring(text, 1, prefix))
         return F.when(new, joined).otherwise(acc)
 
     rows_list = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "summary")))
@@ -68,7 +83,7 @@ def merge_entities(mentions: DataFrame, order: str = "ord", always_append: bool
             F.slice("_rows", F.lit(2), F.size("_rows")),
             F.element_at("_rows", 1)["summary"], append).alias("summary"))
     )
-    return folded.join(first, by).drop("_first")
+    return folded.unionByName(settled).join(first, by).drop("_first")
 
 
 def entity_sessions(mentions: DataFrame) -> DataFrame:
@@ -84,6 +99,11 @@ def dedup_edges(edges: DataFrame, order: str = "ord") -> DataFrame:
     return first_row(edges, ["container", "source", "relation", "target"], [F.col(order)])
 
 
+def _dated(edges: DataFrame) -> DataFrame:
+    """Edges with a ``date`` column, null where the input has none."""
+    return edges if "date" in edges.columns else edges.withColumn("date", F.lit(None).cast("string"))
+
+
 def match_mentions(queries: DataFrame, entities: DataFrame, mode: str = "ngram") -> DataFrame:
     """``(query_id, container, name)`` for entities a query mentions.
 
@@ -134,7 +154,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
     A traversal then needs one equi-join per hop instead of an OR condition.
     """
-    edge = F.struct("source", "relation", "target")
+    edges = _dated(edges)
+    edge = F.struct("source", "relation", "target", "date")
     out = edges.select("container", F.col("source").alias("node"), F.col("target").alias("other"),
                        "ord", F.lit(0).alias("side"), edge.alias("edge"))
     back = edges.where(F.col("source") != F.col("target")).select(
@@ -160,7 +181,8 @@ def khop(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
     links = adjacency(dedup_edges(edges))
     # An edge is crossed once from each end at most, so a query's first 2 * cap crossings hold its
     # first cap edges, and no node adds more than its own first 2 * cap. Nodes follow all links.
-    listed = top_k(links, ["container", "node"], [F.col("ord")], 2 * cap_edges, "_n", spread="other").drop("_n")
+    listed = top_k(links, ["container", "node"], [F.col("ord"), F.col("side"), F.col("edge")], 2 * cap_edges, "_n",
+                   spread="other").drop("_n")
 
     def step(over: DataFrame) -> DataFrame:
         here = frontier.select(*key, F.col("name").alias("node"), "path")
@@ -186,7 +208,7 @@ def khop(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
     once = crossed.groupBy(*key, "edge").agg(F.min(F.struct("hop", "path")).alias("_at"))
     once = once.select(*key, "edge", F.col("_at.hop").alias("hop"), F.col("_at.path").alias("path"))
     rels = top_k(once, key, order, cap_edges, "pos")
-    return nodes, rels.select(*key, "edge.source", "edge.relation", "edge.target", "hop", "pos")
+    return nodes, rels.select(*key, "edge.source", "edge.relation", "edge.target", "edge.date", "hop", "pos")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -210,8 +232,8 @@ def deep_bfs(seeds: DataFrame, edges: DataFrame, hops: int = 2, neighbour_cap: i
     key = ["query_id", "container"]
     keyed = edges.select("container", graph_key(F.col("source")).alias("source"), "relation",
                          graph_key(F.col("target")).alias("target"), "ord")
-    around = top_k(neighbours(keyed), ["container", "node"], [F.col("side"), F.col("ord")], neighbour_cap,
-                   "n")
+    order = [F.col(c) for c in ("side", "ord", "source", "relation", "target")]
+    around = top_k(neighbours(keyed), ["container", "node"], order, neighbour_cap, "n")
     degree = around.groupBy("container", "node").agg(F.count("*").alias("deg"))
 
     frontier = seeds.select(*key, graph_key(F.col("name")).alias("node"), F.col("ord").cast("bigint"))
@@ -284,7 +306,7 @@ def graph_context(queries: DataFrame, entities: DataFrame, edges: DataFrame, hop
         F.col("type").alias("entity_type"), F.col("summary").alias("content"), "pos",
     )
     rel_rows = rels.select(
-        "query_id", "container", F.lit("relationship").alias("row_type"), "source", "relation", "target",
+        "query_id", "container", F.lit("relationship").alias("row_type"), "source", "relation", "target", "date",
         F.concat_ws(" ", "source", "relation", "target").alias("content"), "pos",
     )
     return node_rows.unionByName(rel_rows, allowMissingColumns=True).withColumn("score", F.lit(0.0))

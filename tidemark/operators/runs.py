@@ -26,16 +26,18 @@ def phase_funnel(phase_log: DataFrame) -> DataFrame:
 
 
 def indexing_episodes(episodes: DataFrame) -> DataFrame:
-    """Per run totals of ``(run_id, document_ids, task_ids, completed_ids, failed_ids)`` id lists.
+    """Per run totals of ``(run_id, document_ids, task_ids, completed_ids, failed_ids)`` id lists; a
+    task that an episode names twice counts once.
 
     Runs without any episode are left out; the percentage is rounded half up.
     """
-    def length(name: str) -> Column:
-        return F.coalesce(F.greatest(F.size(name), F.lit(0)), F.lit(0))
+    def length(name: str, unique: bool = False) -> Column:
+        ids = F.array_distinct(name) if unique else F.col(name)
+        return F.coalesce(F.greatest(F.size(ids), F.lit(0)), F.lit(0))
 
     return (
         episodes.groupBy("run_id").agg(
-            F.sum(length("document_ids") + length("task_ids")).alias("total"),
+            F.sum(length("document_ids") + length("task_ids", unique=True)).alias("total"),
             F.sum(length("completed_ids")).alias("completed"),
             F.sum(length("failed_ids")).alias("failed"),
         )

@@ -101,27 +101,30 @@ _KEYED = (
 _TURNS = "array<struct<speaker:string,text:string>>"
 
 
-def load_keyed_sessions(spark: SparkSession, path: str, max_sessions: int = 100) -> Dataset:
+def load_keyed_sessions(spark: SparkSession, path: str) -> Dataset:
     """Files with ``session_1 … session_N`` keys; reading stops at the first missing number.
 
     A session that is not a list is skipped without ending the sequence. All questions of a sample
     share its sessions.
     """
     raw = spark.read.schema(_KEYED).option("multiLine", True).json(path)
-    keys = raw.select("sample_id", "conversation", F.explode(F.map_keys("conversation")).alias("_key"))
-    found = keys.select(
-        "sample_id", "conversation", F.regexp_extract("_key", r"^session_(\d+)$", 1).try_cast("int").alias("n")
-    ).where(F.col("n").between(1, max_sessions))
-    body = F.element_at("conversation", F.concat(F.lit("session_"), F.col("n").cast("string")))
-    # A sample has at most max_sessions rows here.
+    # Entries, not the whole map, go on with each session.
+    entries = raw.select("sample_id", F.element_at("conversation", "speaker_a").alias("speaker_a"),
+                         F.element_at("conversation", "speaker_b").alias("speaker_b"),
+                         F.explode("conversation").alias("_key", "_value"))
+    number = F.regexp_extract("_key", r"^session_([1-9]\d*)(_date_time)?$", 1).try_cast("int")
+    found = entries.withColumn("n", number).where(F.col("n").isNotNull()).groupBy("sample_id", "n").agg(
+        F.first("speaker_a").alias("speaker_a"), F.first("speaker_b").alias("speaker_b"),
+        F.max(F.when(~F.col("_key").endswith("_date_time"), F.col("_value"))).alias("_body"),
+        F.max(F.when(F.col("_key").endswith("_date_time"), F.col("_value"))).alias("_stamp"))
+    # The run of numbers from 1 on ends at the first that is missing.
     place = F.row_number().over(Window.partitionBy("sample_id").orderBy("n"))
-    found = found.withColumn("_body", body).where(F.coalesce("_body", F.lit("")) != "").withColumn(
-        "_place", place).where(F.col("_place") == F.col("n"))
+    found = found.where(F.coalesce("_body", F.lit("")) != "").withColumn("_place", place).where(
+        F.col("_place") == F.col("n"))
     found = found.withColumn("_turns", F.from_json("_body", _TURNS)).where(
         F.col("_body").startswith("[") & F.col("_turns").isNotNull())
     session_id = F.concat("sample_id", F.lit("-session_"), F.col("n").cast("string"))
-    stamp = F.element_at("conversation", F.concat(F.lit("session_"), F.col("n").cast("string"), F.lit("_date_time")))
-    date = parse_clock_date(stamp)
+    date = parse_clock_date(F.col("_stamp"))
     numbered = found.withColumn("session_id", session_id)
     qa = raw.select("sample_id", F.posexplode("qa").alias("i", "_q"))
     question_id = F.concat("sample_id", F.lit("-q"), F.col("i").cast("string"))
@@ -130,13 +133,12 @@ def load_keyed_sessions(spark: SparkSession, path: str, max_sessions: int = 100)
         F.col("_q.answer").alias("ground_truth"), "sample_id", "_q.evidence",
         F.struct(F.col("sample_id"), F.col("i")).alias("pos"),
     )
-    first = F.element_at("conversation", "speaker_a")
     return Dataset(
-        numbered.select("session_id", first.alias("_first"), F.posexplode("_turns").alias("turn", "_m")).select(
+        numbered.select("session_id", F.col("speaker_a").alias("_first"), F.posexplode("_turns").alias("turn", "_m")).select(
             "session_id", "turn", role_of(F.col("_m.speaker"), F.col("_first")).alias("role"),
             F.col("_m.text").alias("text"), F.col("_m.speaker").alias("speaker")),
         numbered.select("session_id", date["iso"].alias("date"), date["formatted"].alias("formatted_date"),
-                        first.alias("speaker_a"), F.element_at("conversation", "speaker_b").alias("speaker_b")),
+                        "speaker_a", "speaker_b"),
         questions,
         qa.select("sample_id", question_id.alias("question_id")).join(
             numbered.select("sample_id", "session_id", F.col("n").alias("ord")), "sample_id").drop("sample_id"),
@@ -150,11 +152,16 @@ _EVIDENCE = (
 )
 
 
-def load_evidence_items(spark: SparkSession, path: str) -> Dataset:
-    """Files holding one list of evidence items; ids carry the item's place in the list."""
+def load_evidence_items(spark: SparkSession, path: str, prefix: str = "convomem") -> Dataset:
+    """Files holding one list of evidence items; ids carry the item's place in the list, and the
+    file's name where one folder holds several files."""
     whole = spark.read.text(path, wholetext=True)
-    items = whole.select(F.posexplode(F.from_json("value", _EVIDENCE)).alias("i", "_e"))
-    question_id = F.concat(F.lit("convomem-"), F.col("_e.category"), F.lit("-"), F.col("i").cast("string"))
+    several = len(whole.inputFiles()) > 1
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    items = whole.select(F.concat(name, F.lit("-")).alias("_file"), F.from_json("value", _EVIDENCE).alias("_list")).select(
+        "_file", F.posexplode("_list").alias("i", "_e"))
+    question_id = F.concat(F.lit(f"{prefix}-"), F.col("_file") if several else F.lit(""), F.col("_e.category"), F.lit("-"),
+                           F.col("i").cast("string"))
     items = items.select("i", question_id.alias("question_id"), "_e.category", "_e.item")
     talks = items.select("question_id", F.posexplode("item.conversations").alias("ord", "_c"))
     talks = talks.withColumn("session_id", F.concat("question_id", F.lit("-session-"), F.col("ord").cast("string")))

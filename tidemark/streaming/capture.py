@@ -16,76 +16,97 @@ from ..plans.scan import gap_runs
 MAX_ROWS = 15
 IDLE_SECONDS = 300
 
-_FLUSH = "key bigint, first_us bigint, last_us bigint, n bigint, reason string"
+_COLUMNS = ["key", "first_us", "last_us", "n", "reason", "messages"]
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Buffer(StatefulProcessor):
-    """Open flush of one key: (row count, first and last event time in ms)."""
+    """Open run of one key: first and last event time and the messages, fewer than ``max_rows``.
+
+    A row that comes late but within the watermark joins the open run unless it lies an idle time or
+    more before it; then it is a run of its own, flushed at once. Flushed runs are never reopened.
+    """
 
     def __init__(self, max_rows: int, idle_ms: int) -> None:
         self.max_rows, self.idle_ms = max_rows, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = [T.StructField(n, T.LongType()) for n in ("n", "first_us", "last_us")]
-        self.open = handle.getValueState("open", T.StructType(fields))
+        self.open = handle.getValueState("open", "first_us bigint, last_us bigint, us array<bigint>, body array<string>")
+
+    def _row(self, key, held: list[tuple[int, str | None]], reason: str) -> dict:
+        held = sorted(held, key=lambda m: (m[0], m[1] or ""))
+        return {"key": key[0], "first_us": held[0][0], "last_us": held[-1][0], "n": len(held), "reason": reason,
+                "messages": [body for _, body in held]}
 
-    def _row(self, key, n: int, first: int, last: int, reason: str) -> dict:
-        return {"key": key[0], "first_us": first, "last_us": last, "n": n, "reason": reason}
+    def _held(self) -> list[tuple[int, str | None]]:
+        if not self.open.exists():
+            return []
+        _, _, us, body = self.open.get()
+        return list(zip(us, body, strict=True))
 
     def _disarm(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stamps = sorted(int(us) for frame in rows for us in frame["us"])
-        n, first, last = self.open.get() if self.open.exists() else (0, 0, 0)
-        out = []
-        for at in stamps:
-            if n and at - last >= self.idle_ms * 1000:
-                out.append(self._row(key, n, first, last, "idle"))
-                n = 0
-            first, last, n = (first if n else at), at, n + 1
-            if n == self.max_rows:
-                out.append(self._row(key, n, first, last, "count"))
-                n = 0
+        new = sorted(((int(us), body) for frame in rows for us, body in zip(frame["us"], frame["body"], strict=True)),
+                     key=lambda m: (m[0], m[1] or ""))
+        held, out, idle = self._held(), [], self.idle_ms * 1000
+        first, last = (min(us for us, _ in held), max(us for us, _ in held)) if held else (0, 0)
+        for at, body in new:
+            if held and first - at >= idle:
+                out.append(self._row(key, [(at, body)], "idle"))
+                continue
+            if held and at - last >= idle:
+                out.append(self._row(key, held, "idle"))
+                held = []
+            first, last = (min(first, at), max(last, at)) if held else (at, at)
+            held.append((at, body))
+            if len(held) == self.max_rows:
+                out.append(self._row(key, held, "count"))
+                held = []
         self._disarm()
-        if n:
-            self.open.update((n, first, last))
+        if held:
+            self.open.update((first, last, [us for us, _ in held], [body for _, body in held]))
             self.handle.registerTimer(last // 1000 + self.idle_ms)
         else:
             self.open.clear()
-        yield pd.DataFrame(out, columns=["key", "first_us", "last_us", "n", "reason"])
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        if self.open.exists():
-            n, first, last = self.open.get()
-            if last // 1000 + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
-                out.append(self._row(key, n, first, last, "idle"))
-                self.open.clear()
-        yield pd.DataFrame(out, columns=["key", "first_us", "last_us", "n", "reason"])
+        held = self._held()
+        if held and max(us for us, _ in held) // 1000 + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            out.append(self._row(key, held, "idle"))
+            self.open.clear()
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 def capture(stream: DataFrame, key: str, ts: str, max_rows: int = MAX_ROWS, idle_seconds: int = IDLE_SECONDS,
-            watermark: str = "10 minutes") -> DataFrame:
-    """Flush rows ``(key, first_ts, last_ts, n, reason)`` of a message stream, in event time.
+            watermark: str = "10 minutes", message: str | None = None) -> DataFrame:
+    """Flush rows ``(key, first_ts, last_ts, n, reason, messages)`` of a message stream, in event time.
 
-    State per key is three numbers; the messages themselves are never buffered. Rows later than the
-    watermark are dropped by Spark and counted in ``numRowsDroppedByWatermark``.
+    ``messages`` hands on the flushed values of the column ``message`` (nulls without one), by time.
+    State per key is the open run, fewer than ``max_rows`` messages. The key keeps its own type. Rows
+    later than the watermark are dropped by Spark and counted in ``numRowsDroppedByWatermark``.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     # The handler works on epoch microseconds, so the session time zone plays no part.
     at = F.col(ts).cast("timestamp")
-    rows = stream.select(F.col(key).cast("bigint").alias("key"), at.alias("ts"), F.unix_micros(at).alias("us"))
+    body = F.col(message).cast("string") if message else F.lit(None).cast("string")
+    rows = stream.select(F.col(key).alias("key"), at.alias("ts"), F.unix_micros(at).alias("us"), body.alias("body"))
+    schema = T.StructType([
+        T.StructField("key", rows.schema["key"].dataType), T.StructField("first_us", T.LongType()),
+        T.StructField("last_us", T.LongType()), T.StructField("n", T.LongType()), T.StructField("reason", T.StringType()),
+        T.StructField("messages", T.ArrayType(T.StringType()))])
     flushes = rows.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
-        _Buffer(max_rows, idle_seconds * 1000), _FLUSH, "Append", "EventTime")
+        _Buffer(max_rows, idle_seconds * 1000), schema, "Append", "EventTime")
     return flushes.select("key", F.timestamp_micros("first_us").alias("first_ts"),
-                          F.timestamp_micros("last_us").alias("last_ts"), "n", "reason")
+                          F.timestamp_micros("last_us").alias("last_ts"), "n", "reason", "messages")
 
 
 def capture_batch(messages: DataFrame, key: str, ts: str, tie: str, max_rows: int = MAX_ROWS,

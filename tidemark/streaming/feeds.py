@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,20 +15,29 @@ from ..plans.skew import first_row
 def append_chunks(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append chunk batches ``(container, chunk_id, content, version)`` to a log at ``path``.
 
-    A batch only appends, so its cost does not grow with the table. A batch that is delivered again
-    rewrites its own folder.
+    A batch only appends, so its cost does not grow with the table. The checkpoint names the writer:
+    a batch that it delivers again rewrites its own folder, and no other writer or new checkpoint
+    touches it.
     """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+            f"{path}/writer={writer}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Latest row per chunk id of the log."""
-    log = spark.read.parquet(path).drop("batch")
-    return first_row(log, ["container", "chunk_id"], [F.col("batch_id").desc(), F.col("version").desc()]).drop("batch_id")
+    """Latest row per chunk id of the log.
+
+    The version decides, since batches of different writers have no order; of equal versions the
+    later batch counts, then the writer's name and the content.
+    """
+    log = spark.read.parquet(path).drop("batch").withColumn("writer", F.col("writer").cast("string"))
+    order = [F.col(c).desc() for c in ("version", "batch_id", "writer", "content")]
+    return first_row(log, ["container", "chunk_id"], order).drop("batch_id", "writer")
 
 
 def current_index(spark: SparkSession, path: str) -> Index:

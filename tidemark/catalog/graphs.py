@@ -53,8 +53,8 @@ def khop_nodes(t: Tables) -> DataFrame:
     return gr.khop(_seeds(t), edges(t), entities(t), 2)[0]
 
 
-@query("khop_edges", f"""WITH {_KHOP} SELECT query_id, 'geo' AS container, source, relation, target, w.h AS hop,
-row_number() OVER (PARTITION BY query_id ORDER BY w) AS pos FROM ed QUALIFY pos <= 20""")
+@query("khop_edges", f"""WITH {_KHOP} SELECT query_id, 'geo' AS container, source, relation, target, 'day ' || (edg.ord % 28) AS date, w.h AS hop,
+row_number() OVER (PARTITION BY query_id ORDER BY w) AS pos FROM ed JOIN edg USING (source, relation, target) QUALIFY pos <= 20""")
 def khop_edges(t: Tables) -> DataFrame:
     return gr.khop(_seeds(t), edges(t), entities(t), 2)[1]
 
@@ -376,9 +376,11 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 
-@query("stream_count_or_idle", f"""WITH {_FLUSHES} SELECT key, first_ts, n FROM f WHERE n = 15 OR last_ts <> (SELECT max(last_ts) FROM f g WHERE g.key = f.key)""")
+@query("stream_count_or_idle", f"""WITH {_FLUSHES} SELECT key, first_ts, last_ts, n, CASE WHEN n = 15 THEN 'count' ELSE 'idle' END AS reason, m[1] AS first_message, m[-1] AS last_message
+FROM f JOIN (SELECT user_id AS key, min(ts) AS first_ts, list(event_id::VARCHAR ORDER BY ts, event_id::VARCHAR) AS m FROM r GROUP BY user_id, sid, part) USING (key, first_ts)
+WHERE n = 15 OR last_ts <> (SELECT max(last_ts) FROM f g WHERE g.key = f.key)""")
 def stream_count_or_idle(t: Tables) -> DataFrame:
-    flushes = cap.capture(_stream(t, "events"), "user_id", "ts", idle_seconds=12 * 3600, watermark="1 hour")
+    flushes = cap.capture(_stream(t, "events"), "user_id", "ts", idle_seconds=12 * 3600, watermark="1 hour", message="event_id")
     path = scratch_path(t.spark, "flushes")
     job = flushes.writeStream.format("parquet").option("path", f"{path}/out").option(
         "checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
@@ -387,7 +389,8 @@ def stream_count_or_idle(t: Tables) -> DataFrame:
     done = t.spark.read.parquet(f"{path}/out")
     last = t("events").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("_end"))
     return done.join(last, "key").where((F.col("n") == 15) | (F.col("last_ts").cast("timestamp_ntz") != F.col("_end"))).select(
-        "key", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n")
+        "key", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"),
+        "n", "reason", F.element_at("messages", 1).alias("first_message"), F.element_at("messages", -1).alias("last_message"))
 
 
 @query("stream_index", """SELECT source AS container, doc_id AS chunk_id, text AS content FROM documents""")

@@ -20,9 +20,13 @@ from .shapes import (BOARD_CTES, PHASE_CTES, QUESTION_CTE, RUNS_CTE, bm25_ctes,
 
 # --- retrieval metrics -------------------------------------------------------------------------
 
-_METRICS = f"""{bm25_ctes()},
+# Every item once more with a text that no document matches: a question without hits.
+_ASKED = """q AS (SELECT item_id AS query_id, 'src' AS container, text FROM benchmark
+  UNION ALL SELECT item_id + 1000000, 'src', '~' FROM benchmark)"""
+
+_METRICS = f"""{bm25_ctes(q=_ASKED)},
 rk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_raw, 6) DESC, chunk_id) AS rank
-  FROM raw WHERE round(bm25_raw, 6) >= 40 QUALIFY rank <= 10),
+  FROM raw QUALIFY rank <= 10),
 v AS (SELECT rk.query_id, rank, CASE WHEN coalesce(l.quality, 0) = 1 AND coalesce(l.toxic, 0) = 0 THEN 1 ELSE 0 END AS rel
   FROM rk LEFT JOIN labels l ON l.doc_id = rk.chunk_id),
 a AS (SELECT q.query_id, count(v.rank) AS k, coalesce(sum(rel), 0) AS r, min(CASE WHEN rel = 1 THEN rank END) AS f,
@@ -37,18 +41,22 @@ mm AS (SELECT query_id, hit_at_k, round(p, 6) AS precision_at_k, hit_at_k AS rec
 
 
 def _metrics(t: Tables) -> DataFrame:
-    # A score floor leaves some items without hits; they stay in the result as empty questions.
-    hits = se.bm25_top_k(items(t), ix.index_chunks(corpus(t)), 10).where(F.col("bm25_raw") >= 40)
+    blank = items(t).withColumns({"query_id": F.col("query_id") + 1000000, "text": F.lit("~")})
+    asked = items(t).unionByName(blank)
     # Search results are stored before they are judged.
-    hits = cut_lineage(hits)
+    hits = cut_lineage(se.bm25_top_k(asked, ix.index_chunks(corpus(t)), 10))
     relevant = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     judged = t("labels").select(F.col("doc_id").alias("chunk_id"), relevant.alias("relevant"))
     labels = hits.select("query_id", "chunk_id").join(judged, "chunk_id")
-    truth = labels.groupBy("query_id").agg(F.sum("relevant").alias("n_relevant"))
-    return mt.retrieval_metrics(items(t), hits, labels, 10, truth)
+    # What counts for recall is every relevant document of the question's container, found or not.
+    known = judged.where("relevant = 1").join(corpus(t).select("container", "chunk_id"), "chunk_id").groupBy("container").agg(
+        F.count("*").alias("n_relevant"))
+    truth = asked.select("query_id", "container").join(known, "container").select("query_id", "n_relevant")
+    return mt.retrieval_metrics(asked, hits, labels, 10, truth)
 
 
-@query("retrieval_metrics", f"""WITH {_METRICS} SELECT *, CASE WHEN relevant_retrieved > 0 THEN 1.0::DOUBLE END AS recall_at_k FROM mm""")
+@query("retrieval_metrics", f"""WITH {_METRICS} SELECT *, round(relevant_retrieved / (SELECT count(*) FROM labels JOIN documents USING (doc_id)
+  WHERE quality = 1 AND toxic = 0), 6) AS recall_at_k FROM mm""")
 def retrieval_metrics(t: Tables) -> DataFrame:
     return _metrics(t)
 
@@ -114,11 +122,38 @@ _USED = """SELECT run_id, phase, duration_ms FROM pl SEMI JOIN dn USING (run_id,
   UNION ALL SELECT run_id, 'total', sum(coalesce(duration_ms, 0))::BIGINT FROM pl SEMI JOIN dn USING (run_id, question_id) GROUP BY run_id, question_id"""
 
 
-@query("report_latency", f"""WITH {PHASE_CTES}, {_DONE}, {_latency_sql(_USED, 'run_id, phase', 'duration_ms')} SELECT * FROM lat""")
+def _zeros(groups: str, by: str) -> str:
+    """All groups with their latency row, zeros where there is none."""
+    numbers = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("min", "max", "mean", "median", "p95", "p99", "std_dev", "count"))
+    return f"SELECT {by}, {numbers} FROM ({groups}) g LEFT JOIN lat USING ({by})"
+
+
+@query("report_latency", f"""WITH {PHASE_CTES}, {_DONE}, {_latency_sql(_USED, 'run_id, phase', 'duration_ms')}
+{_zeros("SELECT * FROM (SELECT DISTINCT run_id FROM dn), (SELECT unnest(['ingest', 'indexing', 'search', 'answer', 'evaluate', 'total']) AS phase)", "run_id, phase")}""")
 def report_latency(t: Tables) -> DataFrame:
     return _report(t)[2]
 
 
+@query("report_type_latency", f"""WITH {PHASE_CTES}, {QUESTION_CTE}, {_DONE}, us AS (SELECT run_id, question_id, phase, duration_ms FROM pl SEMI JOIN dn USING (run_id, question_id)
+  WHERE phase IN ('search', 'answer') UNION ALL SELECT run_id, question_id, 'total', sum(coalesce(duration_ms, 0))::BIGINT FROM pl SEMI JOIN dn USING (run_id, question_id)
+  GROUP BY run_id, question_id),
+{_latency_sql("SELECT run_id, coalesce(question_type, '') AS question_type, phase, duration_ms FROM us JOIN qs USING (question_id)", 'run_id, question_type, phase', 'duration_ms')}
+{_zeros("SELECT * FROM (SELECT DISTINCT run_id, coalesce(question_type, '') AS question_type FROM dn JOIN qs USING (question_id)), (SELECT unnest(['search', 'answer', 'total']) AS phase)", "run_id, question_type, phase")}""")
+def report_type_latency(t: Tables) -> DataFrame:
+    log = phase_log(t)
+    results = log.where(F.col("phase") == "evaluate").select("run_id", "question_id", "score")
+    kinds = questions(t).withColumn("question_type", F.coalesce("question_type", F.lit("")))
+    return rp.type_latency(rp.evaluated(kinds, log, results))
+
+
+@query("retrieval_by_type", f"""WITH {_METRICS} SELECT 'type ' || (query_id % 3) AS question_type, round(avg(hit_at_k), 6) AS hit_at_k,
+round(avg(precision_at_k), 6) AS precision_at_k, round(avg(recall_at_k_ref), 6) AS recall_at_k_ref, round(avg(f1_at_k), 6) AS f1_at_k,
+round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, arg_max(k, query_id) AS k, count(*) AS n FROM mm GROUP BY 1""")
+def retrieval_by_type(t: Tables) -> DataFrame:
+    kind = F.concat(F.lit("type "), (F.col("query_id") % 3).cast("string"))
+    return mt.retrieval_means(_metrics(t).withColumn("question_type", kind), by=["question_type"])
+
+
 @query("question_totals", f"""WITH {PHASE_CTES} SELECT run_id, question_id, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS total_ms FROM pl GROUP BY ALL""")
 def question_totals(t: Tables) -> DataFrame:
     return rp.question_totals(phase_log(t))

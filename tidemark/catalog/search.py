@@ -94,7 +94,8 @@ def cosine_function(t: Tables) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
-_VECTORS = f"""qv AS (SELECT q.query_id, q.container, e.embedding FROM q JOIN embeddings e ON e.vec_id = q.query_id),
+_VECTORS = f"""qv AS (SELECT q.query_id, q.container, CASE WHEN e.vec_id % 5 <> 3 THEN e.embedding END AS embedding
+  FROM q LEFT JOIN embeddings e ON e.vec_id = q.query_id),
 dv AS (SELECT d.container, d.chunk_id, e.embedding FROM d LEFT JOIN embeddings e ON e.vec_id = d.chunk_id),
 cv AS (SELECT qv.query_id, qv.container, dv.chunk_id,
   coalesce({_COS.format('qv.embedding', 'dv.embedding')}, 0) AS vector
@@ -105,7 +106,8 @@ cv AS (SELECT qv.query_id, qv.container, dv.chunk_id,
 nb AS (SELECT query_id, container, chunk_id, bm25_raw / max(bm25_raw) OVER (PARTITION BY query_id, container) AS bm25
   FROM raw),
 s AS (SELECT cv.*, coalesce(nb.bm25, 0) AS bm25, round(0.7::DOUBLE * vector + 0.3::DOUBLE * coalesce(nb.bm25, 0), 6) AS score
-  FROM cv LEFT JOIN nb USING (query_id, container, chunk_id))
+  FROM cv LEFT JOIN nb USING (query_id, container, chunk_id) JOIN qv USING (query_id, container)
+  WHERE qv.embedding IS NOT NULL OR nb.bm25 IS NOT NULL)
 SELECT query_id, container, chunk_id, round(vector, 6) AS vector, round(bm25, 6) AS bm25, score,
   {_TOP.format('score')} AS rank FROM s QUALIFY rank <= 20""")
 def hybrid_topk(t: Tables) -> DataFrame:
@@ -113,14 +115,16 @@ def hybrid_topk(t: Tables) -> DataFrame:
 
 
 @query("hybrid_candidates", f"""WITH {bm25_ctes()}, {_VECTORS},
-near AS (SELECT *, {_TOP.format('round(vector, 6)')} AS vr FROM cv QUALIFY vr <= 20),
+near AS (SELECT * FROM (SELECT cv.*, {_TOP.format('round(vector, 6)')} AS vr FROM cv JOIN qv USING (query_id, container)
+    WHERE embedding IS NOT NULL QUALIFY vr <= 20)
+  UNION ALL SELECT query_id, container, chunk_id, 0, 0 FROM raw JOIN qv USING (query_id, container) WHERE embedding IS NULL),
 j AS (SELECT near.query_id, near.container, near.chunk_id, near.vector, coalesce(raw.bm25_raw, 0) AS b
   FROM near LEFT JOIN raw USING (query_id, container, chunk_id)),
 n AS (SELECT query_id, container, chunk_id, vector, CASE WHEN max(b) OVER (PARTITION BY query_id, container) > 0
   THEN b / max(b) OVER (PARTITION BY query_id, container) ELSE 0 END AS bm25 FROM j),
 s AS (SELECT *, round(0.7::DOUBLE * vector + 0.3::DOUBLE * bm25, 6) AS score FROM n)
 SELECT query_id, container, chunk_id, round(vector, 6) AS vector, round(bm25, 6) AS bm25, score,
-  {_TOP.format('score')} AS rank FROM s""")
+  {_TOP.format('score')} AS rank FROM s QUALIFY rank <= 20""")
 def hybrid_candidates(t: Tables) -> DataFrame:
     return se.hybrid_search(items_with_vectors(t), ix.index_chunks(corpus_with_vectors(t)), 20, mode="candidates")
 

@@ -43,8 +43,10 @@ def corpus_with_vectors(t: Tables) -> DataFrame:
 
 
 def items_with_vectors(t: Tables) -> DataFrame:
-    vectors = t("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return items(t).join(vectors, "query_id")
+    """Items with their vector; some have none and are found by their words alone."""
+    vectors = t("embeddings").select(
+        F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 5 != 3, F.col("embedding")).alias("embedding"))
+    return items(t).join(vectors, "query_id", "left")
 
 
 D_CORPUS = "d AS (SELECT 'src' AS container, doc_id AS chunk_id, text FROM documents)"
@@ -194,7 +196,8 @@ def edges(t: Tables) -> DataFrame:
 
     def rows(df: DataFrame, relation: str, order) -> DataFrame:
         return df.select(F.lit("geo").alias("container"), "source", F.lit(relation).alias("relation"), "target",
-                         order.cast("bigint").alias("ord"))
+                         order.cast("bigint").alias("ord")).withColumn(
+            "date", F.concat(F.lit("day "), (F.col("ord") % 28).cast("string")))
 
     to_region = nation.join(t("region"), nation.n_regionkey == F.col("r_regionkey")).select(
         F.col("n_name").alias("source"), F.col("r_name").alias("target"), "n_nationkey")

@@ -60,27 +60,44 @@ def question_totals(phase_log: DataFrame) -> DataFrame:
     )
 
 
-def report(questions: DataFrame, phase_log: DataFrame, results: DataFrame
-           ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summary, by_type, latency) per run over questions whose evaluation is complete.
+def evaluated(questions: DataFrame, phase_log: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per (run, question) whose evaluation is complete: its type, score, the duration of each
+    phase (null if the log has none) and their ``total``.
 
     ``questions`` is (question_id, question_type), ``phase_log`` (run_id, question_id, phase, status,
-    duration_ms), ``results`` (run_id, question_id, score).
+    duration_ms) with one row per phase, ``results`` (run_id, question_id, score).
     """
     key = ["run_id", "question_id"]
-    done = phase_log.where((F.col("phase") == "evaluate") & (F.col("status") == "completed")).select(*key)
-    scored = (
-        done.join(results, key, "left").join(questions, "question_id")
+    spent = [F.max(F.when(F.col("phase") == p, F.col("duration_ms"))).alias(p) for p in PHASES]
+    done = F.bool_or((F.col("phase") == "evaluate") & (F.col("status") == "completed")).alias("_done")
+    total = sum((F.coalesce(p, F.lit(0)) for p in PHASES), F.lit(0)).cast("bigint")
+    return (
+        phase_log.groupBy(*key).agg(done, *spent).where("_done").drop("_done")
+        .withColumn("total", total)
+        .join(results, key, "left").join(questions, "question_id")
         .withColumn("score", F.coalesce("score", F.lit(0)))
     )
+
+
+def _durations(rows: DataFrame, by: Sequence[str], phases: Sequence[str]) -> DataFrame:
+    """Latency statistics of the phases in every group, zeros for a phase without durations."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.col(p).alias("duration_ms")) for p in phases]))
+    long = rows.select(*by, pairs.alias("_p")).select(*by, "_p.phase", "_p.duration_ms")
+    return latency_stats(long, "duration_ms", [*by, "phase"], long)
+
+
+def type_latency(rows: DataFrame) -> DataFrame:
+    """Search, answer and total latency per run and question type of ``evaluated`` rows."""
+    return _durations(rows, ["run_id", "question_type"], ("search", "answer", "total"))
+
+
+def report(questions: DataFrame, phase_log: DataFrame, results: DataFrame
+           ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary, by_type, latency) per run over questions whose evaluation is complete."""
+    rows = evaluated(questions, phase_log, results)
     correct = F.count_if(F.col("score") == 1).alias("correct")
     total = F.count("*").alias("total")
     accuracy = F.round(F.col("correct") / F.col("total"), 6)
-    summary = scored.groupBy("run_id").agg(total, correct).withColumn("accuracy", accuracy)
-    by_type = scored.groupBy("run_id", "question_type").agg(total, correct).withColumn("accuracy", accuracy)
-    used = phase_log.join(scored.select(*key), key, "left_semi")
-    durations = used.select("run_id", "phase", "duration_ms").unionByName(
-        question_totals(used).select("run_id", F.lit("total").alias("phase"),
-                                     F.col("total_ms").alias("duration_ms"))
-    )
-    return summary, by_type, latency_stats(durations, "duration_ms", ["run_id", "phase"])
+    summary = rows.groupBy("run_id").agg(total, correct).withColumn("accuracy", accuracy)
+    by_type = rows.groupBy("run_id", "question_type").agg(total, correct).withColumn("accuracy", accuracy)
+    return summary, by_type, _durations(rows, ["run_id"], (*PHASES, "total"))

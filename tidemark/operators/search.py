@@ -124,8 +124,10 @@ def hybrid_search(queries: DataFrame, index: Index, k: int = 20, w_vec: float =
     """Weighted sum of cosine and normalised BM25.
 
     ``full`` scores every chunk of the container. ``candidates`` takes the ``k`` nearest vectors
-    first and normalises BM25 over those only, as a SQL store would.
+    first and normalises BM25 over those only, as a SQL store would. A query without a vector is
+    scored by its words alone, with cosine 0 and its best BM25 as 1.
     """
+    wordy = queries.where(F.col("embedding").isNull())
     queries = queries.where(F.col("embedding").isNotNull())
     if mode == "candidates":
         near = _nearest(queries, index.chunks, k).drop("bm25", "score", "rank")
@@ -136,11 +138,21 @@ def hybrid_search(queries: DataFrame, index: Index, k: int = 20, w_vec: float =
         best = F.max("bm25_raw").over(Window.partitionBy("query_id", "container"))
         rows = rows.withColumn("bm25", F.coalesce(F.try_divide(F.col("bm25_raw"), best), F.lit(0.0))).drop("bm25_raw")
         rows = rows.withColumn("score", F.round(w_vec * F.col("vector") + w_kw * F.col("bm25"), DIGITS))
-        return _shown(_rank(rows, k))
+        return _shown(_rank(rows.unionByName(_by_words(bm25(wordy, index), w_kw)), k))
     if mode != "full":
         raise ValueError(f"unknown mode {mode!r}")
-    pairs = bm25(queries, index).select("query_id", "container", "chunk_id", "bm25")
-    return _shown(_rank(block_top_k(queries, index.chunks, pairs, k, w_vec, w_kw), k))
+    every = bm25(queries.unionByName(wordy), index)
+    key = ["query_id", "container"]
+    pairs = every.join(queries.select(*key), key, "left_semi").select(*key, "chunk_id", "bm25")
+    lone = _by_words(every.join(wordy.select(*key), key, "left_semi"), w_kw)
+    rows = block_top_k(queries, index.chunks, pairs, k, w_vec, w_kw)
+    return _shown(_rank(rows.select(*lone.columns).unionByName(lone), k))
+
+
+def _by_words(pairs: DataFrame, w_kw: float) -> DataFrame:
+    """Scored rows of queries without a vector."""
+    return pairs.select("query_id", "container", "chunk_id", F.lit(0.0).alias("vector"), "bm25",
+                        F.round(w_kw * F.col("bm25"), DIGITS).alias("score"))
 
 
 def with_chunk_columns(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:

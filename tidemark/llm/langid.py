@@ -99,7 +99,7 @@ class Trees:
             if not len(late):
                 continue
             if size == 1:
-                bits[late] += 8
+                bits[late] += 8 + self.escape[0][0]
             else:
                 context = self.tables[size - 1](_strings(data, size - 1)[late - size + 1])
                 seen = context >= 0

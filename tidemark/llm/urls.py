@@ -51,7 +51,9 @@ LABELLED = tuple(
         (0, ("news", "daily-news", "wiki", "docs", "library", "museum", "university", "school", "science", "weather",
              "city-council", "history", "recipes", "garden", "travel", "music", "forum", "support", "research",
              "garment", "thinker", "nations", "station", "theory", "there", "another", "letters", "stories",
-             "reading", "therein", "farmers-market", "addresses", "adults-education", "clinic", "tracks")),
+             "reading", "therein", "farmers-market", "addresses", "adults-education", "clinic", "tracks", "book-shop",
+             "flower-shop", "free-software", "online-library", "best-recipes", "sport-news", "quick-start",
+             "cheap-flights", "video-lectures", "hot-springs", "link-list", "buy-local")),
     )
     for host in hosts
     for ending, path in (("example.com", "/en/1"), ("example.org", "/de/2.html"), ("example.net", "/fr/3/"))

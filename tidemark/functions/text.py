@@ -58,6 +58,21 @@ def name_keys(name: Column) -> Column:
     )
 
 
+def term_runs(tokens: Column) -> Column:
+    """Array of (term, tf, dl): each token once, its uses, and the number of all tokens.
+
+    Sorted tokens stand in runs; a run's length is the distance to the next run's start.
+    """
+    def runs(s: Column) -> Column:
+        new = F.when(F.size(s) > 0, F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return let(new, lambda starts: F.transform(starts, lambda at, k: F.struct(
+            F.get(s, at).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).cast("bigint").alias("tf"),
+            F.size(s).alias("dl"))))
+
+    return let(F.sort_array(tokens), runs)
+
+
 def word_sequence(text: Column) -> Column:
     """Lower-case runs of ``[a-z0-9_]``: the units between ASCII word boundaries."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) > 0)

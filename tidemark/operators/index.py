@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bm25_tokens, chunk_rows
-from ..plans.skew import first_row
+from ..functions.text import bm25_tokens, chunk_rows, term_runs
+from ..plans.skew import first_row, spread_few_files
 
 
 @dataclass(frozen=True)
@@ -32,17 +32,13 @@ class Index:
 def term_counts(texts: DataFrame, id_col: str, text_col: str, tokens) -> DataFrame:
     """``(container, <id>, dl, term, tf)`` from the tokens of each text.
 
-    A text is smaller than the rows of its terms, so the texts are spread by id first; the count
-    then needs no further shuffle. The outer explode keeps Spark from adding a filter that would
-    cut the tokens a second time, before the spread.
+    A text is one row, so its terms are counted inside the row: no shuffle, but for a scan of fewer
+    files than cores, whose texts are spread first.
     """
-    return (
-        texts.select("container", id_col, F.col(text_col).alias("_text")).repartition("container", id_col)
-        .select("container", id_col, tokens(F.col("_text")).alias("_tokens"))
-        .select("container", id_col, F.size("_tokens").alias("dl"), F.explode_outer("_tokens").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("container", id_col, "dl", "term").agg(F.count("*").alias("tf"))
-    )
+    rows = spread_few_files(texts.select("container", id_col, F.col(text_col).alias("_text")), "container", id_col)
+    return rows.select(
+        "container", id_col, F.explode(term_runs(tokens(F.col("_text")))).alias("_t")
+    ).select("container", id_col, "_t.dl", "_t.term", "_t.tf")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -52,7 +48,8 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """``(container, n_docs, total_len, avgdl)``."""
-    texts = chunks.select("container", "chunk_id", F.col("content").alias("_text")).repartition("container", "chunk_id")
+    texts = spread_few_files(
+        chunks.select("container", "chunk_id", F.col("content").alias("_text")), "container", "chunk_id")
     return (
         texts.select("container", F.size(bm25_tokens(F.col("_text"))).alias("dl"))
         .groupBy("container")

@@ -23,7 +23,7 @@ from .tables import stored
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
 # Words a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 # Pieces of one length that are numbered in one task.
 RUN = 200_000
 # Texts whose pieces are handed on together.

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import question_container
 from ..operators import facts as fa
 from ..operators import graph as gr
 from ..operators import index as ix
 from ..operators import migrate as mg
 from ..plans.scratch import scratch_path
+from ..sources.tables import append_messages, read_graph, write_graph
 from ..streaming import capture as cap
 from ..streaming import feeds
 from .base import Tables, query
@@ -421,3 +423,39 @@ def stream_progress(t: Tables) -> DataFrame:
 @query("phase_rows", f"WITH {PHASE_CTES} SELECT run_id, question_id, phase, status, duration_ms, score FROM pl")
 def phase_rows(t: Tables) -> DataFrame:
     return phase_log(t).drop("started_at")
+
+
+# --- tables and streams that are written and read back -----------------------------------------
+
+@query("graph_tables", f"WITH {GRAPH_CTES} SELECT 'node' AS kind, container, name, type AS detail FROM ent UNION ALL SELECT 'edge', 'geo', source, relation || ' ' || target FROM edg")
+def graph_tables(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "graph")
+    write_graph(entities(t).withColumn("n_sessions", F.lit(1).cast("bigint")), edges(t).withColumn("session_id", F.lit("s")), path)
+    nodes, links = read_graph(t.spark, path)
+    return nodes.select(F.lit("node").alias("kind"), "container", "name", F.col("type").alias("detail")).unionByName(
+        links.select(F.lit("edge").alias("kind"), "container", F.col("source").alias("name"),
+                     F.concat_ws(" ", "relation", "target").alias("detail")))
+
+
+@query("message_append", """SELECT CASE WHEN NOT regexp_matches(role || CASE WHEN turn % 5 = 4 THEN ' x' ELSE '' END, '^[a-zA-Z0-9_-]+$') THEN 'invalid container' END AS reason,
+conv_id::VARCHAR AS session_id, text AS content FROM conversations WHERE text <> ''
+UNION ALL SELECT 'container, session and messages required', conv_id::VARCHAR, text FROM conversations WHERE coalesce(text, '') = ''""")
+def message_append(t: Tables) -> DataFrame:
+    bad = F.when(F.col("turn") % 5 == 4, F.concat("role", F.lit(" x"))).otherwise(F.col("role"))
+    rows = t("conversations").select(bad.alias("container"), F.col("conv_id").cast("string").alias("session_id"), "text",
+                                     F.lit(None).cast("array<struct<role:string,content:string>>").alias("messages"))
+    accepted, rejected = append_messages(rows)
+    return accepted.select(F.lit(None).cast("string").alias("reason"), "session_id",
+                           F.col("messages")[0]["content"].alias("content")).unionByName(
+        rejected.select("reason", "session_id", F.col("text").alias("content")))
+
+
+@query("hourly_progress", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_progress(t: Tables) -> DataFrame:
+    return feeds.hourly_progress(t("events"), "ts", "event_type").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("question_containers", "SELECT user_id, event_id, 'q' || user_id || '-' || event_type AS container FROM events")
+def question_containers(t: Tables) -> DataFrame:
+    name = question_container(F.concat(F.lit("q"), F.col("user_id").cast("string")), F.col("event_type"))
+    return t("events").select("user_id", "event_id", name.alias("container"))

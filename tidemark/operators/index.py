@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, chunk_rows, term_runs
-from ..plans.skew import first_row, spread_few_files
+from ..plans.skew import first_row, fits, spread_few_files
 
 
 @dataclass(frozen=True)
@@ -99,13 +99,16 @@ def build_index(messages: DataFrame, embed: Callable[[DataFrame], DataFrame] | N
 def upsert_chunks(existing: DataFrame, new: DataFrame, version: str | None = None) -> DataFrame:
     """Replace rows of ``existing`` by rows of ``new`` with the same chunk id.
 
-    Rows of ``new`` win; inside ``new`` the highest ``version`` column wins, if one is named.
+    Rows of ``new`` win; inside ``new`` the highest ``version`` column wins, if one is named, then a
+    hash of the row. Keys of a batch measured to fit are sent to the stored rows, which then stay
+    where they are.
     """
-    old = existing.withColumn("_gen", F.lit(0))
-    fresh = new.withColumn("_gen", F.lit(1))
-    order = [F.col("_gen").desc()] + ([F.col(version).desc()] if version else [])
-    both = old.unionByName(fresh, allowMissingColumns=True)
-    return first_row(both, ["container", "chunk_id"], order).drop("_gen")
+    key = ["container", "chunk_id"]
+    order = ([F.col(version).desc()] if version else []) + [F.xxhash64(*new.columns)]
+    fresh = first_row(new, key, order)
+    names = fresh.select(*key)
+    kept = existing.join(F.broadcast(names) if fits(names) else names, key, "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def clear_container(df: DataFrame, containers: DataFrame) -> DataFrame:

@@ -51,14 +51,20 @@ def bucketed_row_number(df: DataFrame, order: Sequence[Column], buckets: Mapping
     """Row number over the whole frame, sorted bucket by bucket.
 
     ``buckets`` are coarse keys that follow ``order`` (all rows of a bucket come before those of the
-    next). Bucket sizes give each bucket its offset, so no task sorts more than one bucket.
+    next); the first of them must have few values, as a four-digit accuracy has. Bucket sizes give
+    each bucket its offset, so no task sorts more than one bucket.
     """
     keys = list(buckets)
     tagged = df.withColumns(dict(buckets))
-    before = Window.orderBy(*bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy(*keys).agg(F.count("*").alias("_size")).select(
-        *keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
+    sizes = tagged.groupBy(*keys).agg(F.count("*").alias("_size"))
+    # Offsets of the first key's values, then of the buckets inside each: no task sees all buckets.
+    lead, rest = bucket_order[0], list(bucket_order[1:])
+    heads = sizes.groupBy(keys[0]).agg(F.sum("_size").alias("_whole"))
+    past = Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(keys[0], F.coalesce(F.sum("_whole").over(past), F.lit(0)).alias("_base"))
+    before = Window.partitionBy(keys[0]).orderBy(*(rest or [lead])).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_in", F.coalesce(F.sum("_size").over(before), F.lit(0))).join(heads, keys[0]).select(
+        *keys, (F.col("_base") + F.col("_in")).alias("_offset"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
         tagged.withColumn("_rn", F.row_number().over(inside))

@@ -81,11 +81,22 @@ def test_index_round_trip(spark, rows, tmp_path):
     assert len(merged) == 3 and merged["c_s0_0"] == "replaced"
 
 
-def test_long_sessions_are_cut_into_parts(spark):
-    messages = spark.createDataFrame([("c", "s", i, "user", f"m{i}") for i in range(25)],
-                                     "container string, session_id string, turn bigint, role string, text string")
-    parts = [r.content for r in ix.transcripts(messages, part_turns=10).orderBy("part").collect()]
-    assert "\n".join(parts) == "\n".join(f"user: m{i}" for i in range(25)) and len(parts) == 3
+def test_chunks_do_not_depend_on_a_sessions_length(spark):
+    import random
+
+    from tidemark.functions.text import sentence_chunks
+
+    rng = random.Random(2)
+    words = ["tea", "likes. ", "a", "\n", "longer" * 9, " ", "the end."]
+    rows = [("c", "long", i, "user", " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(12_000)]
+    rows += [("c", "tiny", 0, "user", "x"), ("c", "null", 0, "user", None), ("d", "long", 0, "user", "y" * 5000),
+             ("d", "edge", 0, "u", "z" * 97), ("d", "edge1", 0, "u", "z" * 98)]
+    messages = spark.createDataFrame(rows, "container string, session_id string, turn bigint, role string, text string")
+    for size, overlap in ((100, 20), (1600, 320)):
+        whole = ix.transcripts(messages).select("container", "session_id", F.posexplode(
+            sentence_chunks(F.col("content"), size, overlap)).alias("chunk_index", "content"))
+        got = ix.chunk_sessions(messages, size, overlap)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
 
 
 def test_graph_round_trip(spark, rows, tmp_path):

@@ -35,7 +35,7 @@ def _messages(t: Tables) -> DataFrame:
 
 
 _ROLE = "CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'assistant' END"
-_TALK = f"""SELECT 'talk' AS container, conv_id AS session_id, 0 AS part,
+_TALK = f"""SELECT 'talk' AS container, conv_id AS session_id, 
 string_agg({_ROLE} || ': ' || text, chr(10) ORDER BY turn, {_ROLE} || ': ' || text) AS content FROM conversations GROUP BY conv_id"""
 
 
@@ -44,7 +44,7 @@ def session_transcripts(t: Tables) -> DataFrame:
     return ix.transcripts(_messages(t))
 
 
-@query("speaker_transcripts", """SELECT conv_id AS session_id, 0 AS part, string_agg(CASE WHEN role <> 'system' THEN 'S-' || role
+@query("speaker_transcripts", """SELECT conv_id AS session_id, string_agg(CASE WHEN role <> 'system' THEN 'S-' || role
 ELSE role END || CASE WHEN turn % 2 = 0 THEN ' [t' || turn || ']' ELSE '' END || ': ' || text, chr(10) ORDER BY turn) AS transcript
 FROM conversations GROUP BY conv_id""")
 def speaker_transcripts(t: Tables) -> DataFrame:
@@ -55,7 +55,7 @@ def speaker_transcripts(t: Tables) -> DataFrame:
     return cx.speaker_transcript(rows)
 
 
-@query("json_transcripts", """SELECT session_id, 0 AS part, 'Here is the date the following session took place: d' || session_id
+@query("json_transcripts", """SELECT session_id, 'Here is the date the following session took place: d' || session_id
 || chr(10) || chr(10) || 'Here is the session as a stringified JSON:' || chr(10)
 || replace(replace('[' || string_agg(to_json({'role': role, 'content': text})::VARCHAR, ',' ORDER BY turn) || ']', '<', '&lt;'), '>', '&gt;')
 AS transcript FROM (SELECT conv_id AS session_id, * FROM conversations) GROUP BY session_id""")

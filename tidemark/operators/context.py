@@ -116,26 +116,24 @@ def raw_json(rows: DataFrame, columns: Sequence[str], order: str = "rank",
     return rows.groupBy(*by).agg(F.to_json(F.transform(packed, lambda r: r["row"])).alias("context"))
 
 
-def speaker_transcript(messages: DataFrame, by: Sequence[str] = ("session_id",), turn: str = "turn",
-                       part_turns: int = 10_000) -> DataFrame:
-    """``speaker [timestamp]: text`` lines per session part; the role stands in for a missing speaker."""
+def speaker_transcript(messages: DataFrame, by: Sequence[str] = ("session_id",), turn: str = "turn"
+                       ) -> DataFrame:
+    """``speaker [timestamp]: text`` lines per session; the role stands in for a missing speaker."""
     stamp = F.coalesce(F.concat(F.lit(" ["), _filled(F.col("timestamp")), F.lit("]")), F.lit(""))
     line = F.concat(F.coalesce(_filled(F.col("speaker")), F.col("role")), stamp, F.lit(": "), F.col("text"))
-    parts = messages.withColumn("part", F.floor(F.col(turn) / part_turns))
-    return parts.groupBy(*by, "part").agg(_joined(turn, line, "\n").alias("transcript"))
+    return messages.groupBy(*by).agg(_joined(turn, line, "\n").alias("transcript"))
 
 
 def json_transcript(messages: DataFrame, by: Sequence[str] = ("session_id",), turn: str = "turn",
-                    part_turns: int = 10_000, date: str | None = None) -> DataFrame:
+                    date: str | None = None) -> DataFrame:
     """Messages as a JSON array with escaped angle brackets, after an optional date line."""
     rows = F.sort_array(F.collect_list(F.struct(
         F.col(turn).alias("at"), F.struct(F.col("role"), F.col("text").alias("content")).alias("m"))))
     body = F.to_json(F.transform(rows, lambda r: r["m"]))
     body = F.replace(F.replace(body, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    parts = messages.withColumn("part", F.floor(F.col(turn) / part_turns))
     first_date = F.min(date) if date else F.lit(None).cast("string")
-    out = parts.groupBy(*by, "part").agg(body.alias("_body"), first_date.alias("_date"))
+    out = messages.groupBy(*by).agg(body.alias("_body"), first_date.alias("_date"))
     intro = F.coalesce(F.concat(F.lit("Here is the date the following session took place: "),
                                 _filled(F.col("_date")), F.lit("\n\n")), F.lit(""))
-    return out.select(*by, "part", F.concat(
+    return out.select(*by, F.concat(
         intro, F.lit("Here is the session as a stringified JSON:\n"), F.col("_body")).alias("transcript"))

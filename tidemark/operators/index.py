@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import bm25_tokens, chunk_rows, term_runs
+from ..functions.text import bm25_tokens, term_runs
 from ..plans.skew import first_row, fits, spread_few_files
 
 
@@ -63,33 +66,96 @@ def index_chunks(chunks: DataFrame) -> Index:
     return Index(chunks, postings(chunks), corpus_stats(chunks))
 
 
-def transcripts(messages: DataFrame, part_turns: int = 10_000) -> DataFrame:
-    """One text per session part: ``role: text`` lines in turn order.
+def _line() -> Column:
+    return F.concat(F.col("role"), F.lit(": "), F.col("text"))
 
-    ``messages`` has (container, session_id, turn, role, text). A part holds ``part_turns`` turns,
-    so a session is one row unless it is longer than that, and no task gathers more.
+
+def transcripts(messages: DataFrame) -> DataFrame:
+    """One text per session: ``role: text`` lines in turn order.
+
+    ``messages`` has (container, session_id, turn, role, text). A transcript is one value, so a task
+    gathers the session it writes; chunks do not need it (``chunk_sessions``).
     """
-    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
     return (
-        messages.withColumn("part", F.floor(F.col("turn") / part_turns))
-        .groupBy("container", "session_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("_lines"))
-        .select("container", "session_id", "part",
+        messages.groupBy("container", "session_id")
+        .agg(F.sort_array(F.collect_list(F.struct("turn", _line().alias("line")))).alias("_lines"))
+        .select("container", "session_id",
                 F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("content"))
     )
 
 
+_BLANK = " \t\n\x0b\x0c\r"
+
+
+def _streamed_sentences(lines: Iterator[str], size: int, overlap: int) -> Iterator[str]:
+    """What ``sentence_chunks`` makes of the joined lines, holding one window of them."""
+    text, last, some = "", False, False
+    while True:
+        while not last and len(text) < size + 2:
+            line = next(lines, None)
+            if line is None:
+                last = True
+            else:
+                text, some = text + "\n" + line if some else line, True
+        if last and len(text) <= size:
+            yield text.strip(_BLANK)
+            return
+        whole, start = text[:size + 2].rfind(". "), text[:size + 1]
+        for at, least in ((whole, size * 0.5), (start.rfind("\n"), size * 0.5), (start.rfind(" "), 0)):
+            if at > 0 and at >= least:
+                break
+        else:
+            at = size
+        taken = size + 1 if at + 1 - overlap <= 0 else at + 1
+        yield text[:taken].strip(_BLANK)
+        text = text[taken - overlap:]
+        if last and not text:
+            return
+
+
+def chunk_sessions(messages: DataFrame, size: int = 1600, overlap: int = 320) -> DataFrame:
+    """(container, session_id, chunk_index, content): sentence chunks of every session's transcript.
+
+    The turns of a session come sorted and are read through a window of one chunk, so a session of
+    any length gives the chunks of its whole text and no task gathers it.
+    """
+    schema = T.StructType([messages.schema["container"], messages.schema["session_id"],
+                           T.StructField("chunk_index", T.LongType()), T.StructField("content", T.StringType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, group in groupby(rows(batches), key=lambda r: r[:2]):
+            lines = (line for _, _, line in group if line is not None)
+            number = 0
+            for first, piece in enumerate(_streamed_sentences(lines, size, overlap)):
+                # An empty piece counts only where it is the whole text.
+                if piece or first == 0:
+                    out.append((*key, number, piece))
+                    number += 1
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=schema.names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=schema.names)
+
+    lined = messages.select("container", "session_id", "turn", _line().alias("line"))
+    return (
+        lined.repartition("container", "session_id").sortWithinPartitions("container", "session_id", "turn", "line")
+        .select("container", "session_id", "line").mapInArrow(cut, schema)
+    )
+
+
 def build_index(messages: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None,
                 size: int = 1600, overlap: int = 320) -> Index:
     """Transcript, chunk, embed and count: the whole ingest as one plan.
 
     ``embed`` takes the chunk frame and returns it with an ``embedding`` column.
     """
-    texts = transcripts(messages)
-    chunks = chunk_rows(texts, "content", "sentence", size=size, overlap=overlap)
-    # Parts of a long session keep their order: the part fills the upper digits of the number.
-    chunks = chunks.withColumn("chunk_index", F.col("part") * 2**32 + F.col("chunk_index")).drop("part")
-    chunks = chunks.withColumn(
+    chunks = chunk_sessions(messages, size, overlap).withColumn(
         "chunk_id", F.concat_ws("_", "container", F.col("session_id").cast("string"),
                                 F.col("chunk_index").cast("string"))
     )

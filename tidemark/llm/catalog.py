@@ -30,7 +30,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
-@query("op3_minhash_near_dedup")
+@query("op3_minhash_near_dedup", neardup.ORACLE_SQL)
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 # Wording that licence headers and files use (fixed values).
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -18,8 +23,8 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
 )
-# Lines that may state a licence: they hold one of these.
-HINT = r"(?i)licen[cs]e|creative commons|public domain|redistribution|copyright|spdx"
+# Lines that may state a licence: they hold one of these, in either case.
+HINTS = ("license", "licence", "creative commons", "public domain", "redistribution", "copyright", "spdx")
 WORD = "[a-z0-9.]*[a-z0-9]"
 THRESHOLD = 0.5
 # Names of files that speak for their directory.
@@ -32,8 +37,12 @@ def words(text: Column) -> Column:
 
 def statement(text: Column) -> Column:
     """The lines of a whole text that may state a licence; null if there are none."""
-    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(HINT))
-    return F.when(text.rlike(HINT) & (F.size(lines) > 0), F.array_join(lines, "\n"))
+    lines = F.filter(F.split(text, "\n", -1), lambda line: _hinted(F.lower(line)))
+    return F.when(_hinted(F.lower(text)), F.array_join(lines, "\n"))
+
+
+def _hinted(low: Column) -> Column:
+    return reduce(or_, (low.contains(hint) for hint in HINTS))
 
 
 def _vectors(terms: DataFrame, key: str, weights: DataFrame) -> DataFrame:
@@ -87,11 +96,16 @@ def scan(files: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     state nothing, a null path inherits nothing; rows with equal ``key`` and path are each answered from their own
     statement. An empty table gives no rows.
     """
-    noted = files.select(key, "path", statement(F.col("text")).alias("statement"))
+    # Texts are read once; everything below works on paths and statements.
+    noted = stored(files.select(key, "path", statement(F.col("text")).alias("statement")), "statements")
     own = classify(noted.where(F.col("statement").isNotNull()).select("statement").distinct(), threshold)
-    seen = noted.join(own, "statement", "left").drop("statement")
+    # Most files state nothing: they stay out of the join, where they would be one key.
+    silent = noted.where(F.col("statement").isNull()).select(
+        key, "path", F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("similarity"))
+    seen = noted.where(F.col("statement").isNotNull()).join(own, "statement", "left").select(
+        key, "path", "licence", "similarity").unionByName(silent)
     name = F.element_at(F.split("path", "/", -1), -1)
-    seen = seen.withColumn("is_file", F.coalesce(name.rlike(FILE), F.lit(False)))
+    seen = stored(seen.withColumn("is_file", F.coalesce(name.rlike(FILE), F.lit(False))), "licences")
     granted = seen.where(F.col("is_file") & F.col("licence").isNotNull()).select(
         F.element_at(_directories(F.col("path")), 1)["directory"].alias("directory"), "licence", "similarity"
     ).groupBy("directory").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence")).alias("grant"))
@@ -134,7 +148,7 @@ files AS (
   FROM documents),
 noted AS (
   SELECT doc_id, path, array_to_string(list_filter(string_split(text, chr(10)),
-    lambda l: regexp_matches(l, '{HINT}')), chr(10)) AS statement
+    lambda l: regexp_matches(lower(l), '{"|".join(HINTS)}')), chr(10)) AS statement
   FROM files),
 words AS (
   SELECT 't' AS side, licence AS name, unnest(regexp_extract_all(lower(wording), '{WORD}')) AS term FROM templates

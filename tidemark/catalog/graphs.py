@@ -10,12 +10,13 @@ from ..operators import facts as fa
 from ..operators import graph as gr
 from ..operators import index as ix
 from ..operators import migrate as mg
+from ..operators.answer import search
 from ..plans.scratch import scratch_path
 from ..sources.tables import append_messages, read_graph, write_graph
 from ..streaming import capture as cap
 from ..streaming import feeds
 from .base import Tables, query
-from .shapes import GRAPH_CTES, PHASE_CTES, edges, entities, phase_log
+from .shapes import GRAPH_CTES, PHASE_CTES, bm25_ctes, edges, entities, one_container, phase_log
 
 # --- traversal ---------------------------------------------------------------------------------
 
@@ -459,3 +460,49 @@ def hourly_progress(t: Tables) -> DataFrame:
 def question_containers(t: Tables) -> DataFrame:
     name = question_container(F.concat(F.lit("q"), F.col("user_id").cast("string")), F.col("event_type"))
     return t("events").select("user_id", "event_id", name.alias("container"))
+
+
+# --- the whole search --------------------------------------------------------------------------
+
+_ASK = """mq AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 2 = 0 THEN 'How many buyers in ' ELSE 'Which buyers in ' END || n_name AS text FROM nation)"""
+_BUYERS = """d AS (SELECT 'geo' AS container, c_custkey AS chunk_id, 'Buyers: ' || c_name || ' in ' || n_name || ' likes ' || c_mktsegment AS text
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_PARTS = """q AS (SELECT query_id * 10 AS query_id, 'geo' AS container, text FROM mq UNION ALL
+  SELECT n_nationkey * 10 + 1, 'geo', 'automobile ' || n_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL
+  SELECT n_nationkey * 10 + 2, 'geo', 'machinery furniture' FROM nation WHERE n_nationkey % 2 = 0)"""
+_ASK_SEEDS = f"""{_MK}, {_NQ}, seed AS (SELECT query_id, name, [row_number() OVER (PARTITION BY query_id ORDER BY name)] AS path
+  FROM (SELECT DISTINCT query_id, name FROM nq JOIN mk ON contains(nq.g, mk.g)))"""
+
+
+@query("search_full", f"""WITH {_ASK}, {bm25_ctes(_BUYERS, _PARTS)},
+r AS (SELECT query_id, chunk_id, round(bm25_raw, 6) AS b FROM raw),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, chunk_id) AS rank FROM r QUALIFY rank <= 20),
+n AS (SELECT query_id // 10 AS query_id, query_id % 10 AS sub, chunk_id, rank, round(b / max(b) OVER (PARTITION BY query_id), 6) AS score FROM k),
+o AS (SELECT query_id, chunk_id, score FROM n QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sub, rank) = 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS place FROM o QUALIFY place < 20),
+s AS (SELECT m.*, count(*) OVER (PARTITION BY query_id) > 10 AS used, (place * 7 % 11)::DOUBLE AS again FROM m),
+c AS (SELECT query_id, chunk_id, CASE WHEN used THEN again / 10 ELSE score END AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN used THEN again ELSE 0 END DESC, place) AS pos FROM s QUALIFY pos <= 10),
+{_khop_sql(_ASK_SEEDS)}
+SELECT query_id, 'chunk' AS row_type, pos, c.chunk_id, d.text AS content, NULL AS date, score FROM c JOIN d ON d.chunk_id = c.chunk_id
+UNION ALL SELECT query_id, 'entity', row_number() OVER (PARTITION BY query_id ORDER BY hop, path) AS pos, NULL, ent.summary, NULL, 0
+FROM nd JOIN ent ON ent.name = nd.name QUALIFY pos <= 10
+UNION ALL SELECT query_id, 'relationship', row_number() OVER (PARTITION BY query_id ORDER BY w) AS pos, NULL,
+source || ' ' || relation || ' ' || target, 'day ' || (edg.ord % 28), 0 FROM ed JOIN edg USING (source, relation, target) QUALIFY pos <= 20""")
+def search_full(t: Tables) -> DataFrame:
+    name, number = F.col("n_name"), F.col("n_nationkey").cast("bigint")
+    geo = one_container("n_nationkey", "geo").alias("container")
+    even = F.col("n_nationkey") % 2 == 0
+    asked = t("nation").select(number.alias("query_id"), geo, F.concat(
+        F.when(even, "How many buyers in ").otherwise("Which buyers in "), name).alias("text"))
+    # Sub-queries of a question that does not count are not used.
+    parts = F.posexplode(F.array(F.concat(F.lit("automobile "), name), F.lit("machinery furniture")))
+    subs = t("nation").select(number.alias("query_id"), geo, parts.alias("i", "text")).select(
+        "query_id", "container", (F.col("i") + 1).alias("sub"), "text")
+    chunks = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        one_container("c_custkey", "geo").alias("container"), F.col("c_custkey").alias("chunk_id"),
+        F.concat(F.lit("Buyers: "), "c_name", F.lit(" in "), "n_name", F.lit(" likes "), "c_mktsegment").alias("content"))
+    again = t("nation").select(number.alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("pos")).withColumn(
+        "rerank", F.col("pos") * 7 % 11)
+    rows = search(asked, ix.index_chunks(chunks), 10, subqueries=subs, rerank_scores=again, entities=entities(t), edges=edges(t))
+    return rows.select("query_id", "row_type", F.col("pos").cast("bigint").alias("pos"), "chunk_id", "content", "date", "score")

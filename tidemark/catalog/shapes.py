@@ -13,12 +13,12 @@ from .base import Tables
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
 
-def one_container(key: str) -> Column:
+def one_container(key: str, name: str = "src") -> Column:
     """The container that holds all rows; rows without a key are in none.
 
     A plain literal would be folded away and with it the equi-join on the container.
     """
-    return F.when(F.col(key).isNotNull(), "src")
+    return F.when(F.col(key).isNotNull(), name)
 
 
 def corpus(t: Tables) -> DataFrame:

@@ -113,3 +113,76 @@ def test_incremental_index(spark, rows, tmp_path):
     fresh = feeds.refresh_containers(old, feeds.current_chunks(spark, data), touched)
     assert rows(fresh.postings, "term", "chunk_id") == rows(index.postings, "term", "chunk_id")
     assert rows(fresh.stats, "container", "n_docs", "total_len") == [("a", 2, 2), ("b", 1, 1)]
+
+
+class _State:
+    """Value state and timers of one key, held in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_late_rows_do_not_turn_the_clock_back():
+    import pandas as pd
+
+    state = _State()
+    buffer = cap._Buffer(15, 300_000)
+    buffer.init(state)
+
+    def feed(*seconds):
+        rows = pd.DataFrame({"us": [s * 1_000_000 for s in seconds], "body": [f"m{s}" for s in seconds]})
+        return [tuple(r) for out in buffer.handleInputRows(("anna",), iter([rows]), None)
+                for r in out[["key", "first_us", "last_us", "n", "reason", "messages"]].itertuples(index=False)]
+
+    assert feed(1000) == [] and feed(1100) == []
+    assert feed(1050) == [] and state.timers == [1_400_000]
+    assert feed(1390) == []
+    # A row an idle time before the open run is flushed by itself; the run goes on.
+    assert feed(650) == [("anna", 650_000_000, 650_000_000, 1, "idle", ["m650"])]
+    assert feed(1700) == [("anna", 1_000_000_000, 1_390_000_000, 4, "idle", ["m1000", "m1050", "m1100", "m1390"])]
+
+
+def test_string_keys_and_messages(spark, tmp_path):
+    rows = [(f"user {i % 2}", START + dtm.timedelta(seconds=i), f"text {i}") for i in range(60)]
+    spark.createDataFrame(rows, "user string, ts timestamp, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user string, ts timestamp, text string").parquet(str(tmp_path / "in"))
+    cap.capture(stream, "user", "ts", message="text").writeStream.format("parquet").option(
+        "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(
+        availableNow=True).start().awaitTermination()
+    got = sorted((r.key, r.n, r.messages[0]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got[:2] == [("user 0", 15, "text 0"), ("user 0", 15, "text 30")] and got[-1] == ("user 1", 15, "text 31")
+
+
+def test_two_writers_share_a_log(spark, tmp_path):
+    schema = "container string, chunk_id bigint, content string, version bigint"
+    sources = {"a": [("c", 1, "old", 1), ("c", 2, "two", 1)], "b": [("c", 1, "new", 2), ("c", 3, "three", 1)]}
+    for name, rows in sources.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        feeds.append_chunks(stream, str(tmp_path / "data"), str(tmp_path / f"log-{name}")).awaitTermination()
+    got = {r.chunk_id: r.content for r in feeds.current_chunks(spark, str(tmp_path / "data")).collect()}
+    assert got == {1: "new", 2: "two", 3: "three"}

@@ -24,6 +24,8 @@ CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
 # Words a worker remembers; it starts anew beyond that.
 REMEMBERED = 300_000
+# Longer words are encoded each time.
+LONGEST = 64
 # Pieces of one length that are numbered in one task.
 RUN = 200_000
 # Texts whose pieces are handed on together.
@@ -76,31 +78,37 @@ class _Words:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.ranked = _ranked_encoder(path)
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # ids of a space and the word
 
-    def _encode(self, word: str) -> bytes:
-        if len(word) > 2 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha():
-            return self._learn(word[:-1]) + self._learn(word[-1])
-        if self.ranked is not None and _PLAIN.fullmatch(word):
-            return np.asarray(self.ranked.encode_ordinary(word), "<u4").tobytes()
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode(self, text: str) -> bytes:
+        if self.ranked is not None and _PLAIN.fullmatch(text):
+            return np.asarray(self.ranked.encode_ordinary(text), "<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, word: str) -> bytes:
-        ids = self.known.get(word)
+        if len(word) > LONGEST:
+            return self._encode(word)
+        held, name = (self.spaced, word[1:]) if word[:1] == " " else (self.known, word)
+        ids = held.get(name)
         if ids is None:
-            ids = self.known[word] = self._encode(word)
+            closed = len(word) > 2 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha()
+            ids = held[name] = self._learn(word[:-1]) + self._learn(word[-1]) if closed else self._encode(word)
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        if _UNEVEN.search(text) or text[:1].isspace() or text[-1:].isspace():
+        if len(self.known) + len(self.spaced) > REMEMBERED:
+            self.known, self.spaced = {}, {}
+        if text.replace("\n", "").isprintable():  # then spaces and line feeds are all the white space there is
+            uneven = "  " in text or " \n" in text or "\n " in text
+        else:
+            uneven = _UNEVEN.search(text)
+        if uneven or text[:1].isspace() or text[-1:].isspace():
             return self._encode(text)
         first, *rest = text.split(" ")
-        words = [first, *map(" ".__add__, rest)]
-        ids = list(map(self.known.get, words))
+        ids = list(map(self.spaced.get, rest))
         if None in ids:
-            ids = [self._learn(word) if found is None else found for word, found in zip(words, ids, strict=True)]
-        return b"".join(ids)
+            ids = [self._learn(" " + word) if found is None else found for word, found in zip(rest, ids, strict=True)]
+        return self._learn(first) + b"".join(ids)
 
 
 _loaded: dict[str, _Words] = {}

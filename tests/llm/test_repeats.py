@@ -66,6 +66,26 @@ def test_long_texts_have_the_same_anchors_in_blocks(monkeypatch):
     assert set(whole) == set(np.unique(np.concatenate(parts)))
 
 
+@pytest.mark.parametrize("extra", [-1, 0, 1, 399, 400, 9000])
+def test_find_anchors_reads_blocks_itself(monkeypatch, extra):
+    data = np.frombuffer(prose(random.Random(2), 4000).encode(), np.uint8)[:4096 + repeats.LENGTH + extra]
+    whole = repeats.find_anchors(data, np.array([0, len(data)]))
+    monkeypatch.setattr(repeats, "PLACE", 13)
+    monkeypatch.setattr(repeats, "BLOCK", 1 << 12)
+    text, place = repeats.find_anchors(data, np.array([0, len(data)]))
+    assert list(place) == sorted(set(whole[1])) and not text.any()
+
+
+def test_a_text_of_more_than_eight_mebibytes(make_docs):
+    big = np.random.default_rng(4).integers(97, 123, (1 << 23) + 600_000, np.uint8).tobytes().decode()
+    edge = (1 << 23) - 300
+    shared = big[edge:edge + 1000]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(
+        make_docs([(1, big), (2, f"<{shared}>")])).collect()}
+    kept = hashlib.sha256((big[:edge] + big[edge + 1000:]).encode()).hexdigest()
+    assert got == {1: (len(big), 1000, 1, kept), 2: (1002, 1000, 1, hashlib.sha256(b"<>").hexdigest())}
+
+
 def test_columns_give_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(3)
     grid = rng.integers(0, 3, (200, 12))

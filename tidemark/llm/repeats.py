@@ -28,7 +28,7 @@ WINDOW = 192
 SIDE = WINDOW - 1
 MIDDLE = LENGTH - SIDE
 GRAM = 8
-# Bits of a packed minimum that hold the place; longer texts are read in overlapping blocks.
+# Bits of a packed minimum that hold the place; texts over BLOCK + LENGTH bytes are read in overlapping blocks of that size.
 PLACE = 24
 BLOCK = 1 << 23
 # Contexts that are ordered together; whole groups, unless one is larger.
@@ -57,7 +57,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """(text, place in the buffer) of the anchors of all strings of LENGTH bytes inside the texts."""
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(data) > 1 << (PLACE - 1) and len(offsets) == 2:
+    if len(data) > BLOCK + LENGTH and len(offsets) == 2:
         found = [find_anchors(part := data[a:a + BLOCK + LENGTH], np.array([0, len(part)]))[1] + a
                  for a in range(0, len(data), BLOCK)]
         places = np.unique(np.concatenate(found))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +43,27 @@ def test_personal_patterns(text):
     assert sorted(pii.base_spans(text)) == sorted(brute_pii(text))
 
 
+SPELLED = ["write to ann [at] site.com", "jane (at) example.org", "ANN [AT] SITE.COM", "ann [at ] site.com", "ann(At)site.org"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*SPELLED, "ann", "at", "AT", "dot", "DoT", ".", "[", "]", "(", ")", " ", "com", "1"]), max_size=12))
+def test_prefilter_loses_no_spelled_address(parts):
+    text = "".join(parts)
+    base = pii.base_spans(text)
+    want = [("email", *m.span()) for m in pii._SPELLED.finditer(text)
+            if re.search(r"(?i)dot|[\])]", m[0]) and not pii.overlaps(*m.span(), base)]
+    batch = pa.RecordBatch.from_pydict({"text": [text]})
+    (_, seen, more), = pii._each(batch)
+    assert seen == base and [s for s in more if s[0] == "email"] == want
+
+
+@pytest.mark.parametrize("text", SPELLED)
+def test_spelled_address_without_digit_sign_or_dot(text):
+    (_, _, more), = pii._each(pa.RecordBatch.from_pydict({"text": [text]}))
+    assert [s[0] for s in more] == ["email"]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["token", "Token", "ſecret", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEF0123456789", "deadbeef01",
                                  "é", "api_key", "APIKEY", "password", "x1"]), max_size=10))

@@ -29,13 +29,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]|[Dd][Oo][Tt]|DOT")
+# What every span or candidate holds one of: a digit, the sign, or a word for a sign as _SPELLED reads it.
+_HINT = re.compile(r"[0-9@]|[Dd][Oo][Tt]|[Aa][Tt] ?[\])]")
 
 # Candidates beyond them: digit groups, and addresses with words for the signs.
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]++(?:[ ().-]{1,2}[0-9]++)*(?![0-9A-Za-z])")
 _SPELLED = re.compile(
     r"(?<![\w.])[\w.+-]{1,64}(?: ?[\[(] ?at ?[\])] ?| at )[\w-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[\w-]{1,63}){1,4}",
     re.IGNORECASE)
+_WORDED = re.compile(r"[Dd][Oo][Tt]|[Aa][Tt] ?[\])]")
 
 # Gazetteers (fixed values).
 _ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35")
@@ -96,7 +98,7 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         n = sum(map(str.isdigit, m[0]))
         if 9 <= n <= 19 and not overlaps(*m.span(), base):
             found.append(("card" if n >= 13 else "phone", *m.span()))
-    if "dot" in text.lower() or "at]" in text or "at)" in text:
+    if _WORDED.search(text):
         found += [("email", *m.span()) for m in _SPELLED.finditer(text)
                   if re.search(r"dot|[\])]", m[0], re.IGNORECASE) and not overlaps(*m.span(), base)]
     return found

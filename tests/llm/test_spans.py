@@ -64,6 +64,24 @@ def test_spelled_address_without_digit_sign_or_dot(text):
     assert [s[0] for s in more] == ["email"]
 
 
+@pytest.mark.parametrize("run", [
+    "030-555-1234 030-555-9999", "0305551234 0305559999 0305558888", "030-555-1234 030-555-9999 030-555-8888",
+    "(030) 555-1234 (030) 555-9999", "030555123 030555999", "4111 1111 1111 1111 4242 4242 4242 4242 4012 8888 8888 1881",
+    "030.555.1234 4111 1111 1111 1111", " ".join(f"030-555-{k}" for k in range(1000, 3000)), "12345678901234567890 030-555-1234"])
+def test_numbers_side_by_side_are_candidates_each(run):
+    text = f"call {run} now"
+    got = sorted(text[a:b] for _, a, b in pii.candidates(text, pii.base_spans(text)))
+    want = re.findall(r"[0-9]{4}(?: [0-9]{4}){3}|(?<![0-9])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}|[0-9]{9,10})(?![0-9])", run)
+    assert got == sorted(want)
+    kinds = {text[a:b]: kind for kind, a, b in pii.candidates(text, [])}
+    assert all(kinds[w] == ("card" if len(w) == 19 else "phone") for w in want)
+
+
+def test_a_run_keeps_what_a_base_span_leaves():
+    text = "login 10.1.2.3 030-555-1234 x"
+    assert [text[a:b] for _, a, b in pii.candidates(text, pii.base_spans(text))] == ["030-555-1234"]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["token", "Token", "ſecret", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEF0123456789", "deadbeef01",
                                  "é", "api_key", "APIKEY", "password", "x1"]), max_size=10))

@@ -34,6 +34,8 @@ _HINT = re.compile(r"[0-9@]|[Dd][Oo][Tt]|[Aa][Tt] ?[\])]")
 
 # Candidates beyond them: digit groups, and addresses with words for the signs.
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]++(?:[ ().-]{1,2}[0-9]++)*(?![0-9A-Za-z])")
+_GROUP = re.compile(r"[0-9]+")
+FEWEST, MOST = 9, 19  # digits of a number
 _SPELLED = re.compile(
     r"(?<![\w.])[\w.+-]{1,64}(?: ?[\[(] ?at ?[\])] ?| at )[\w-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[\w-]{1,63}){1,4}",
     re.IGNORECASE)
@@ -91,13 +93,64 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _worth(text: str, groups: list[tuple[int, int]]) -> int:
+    """How well neighbouring groups read as one number: its digits, a checksum, and no sign of a cut inside."""
+    sizes = [b - a for a, b in groups]
+    gaps = [text[b:a] for (_, b), (a, _) in zip(groups, groups[1:], strict=False)]
+    worth = 10 * sum(sizes)
+    if len(groups) > 1 and max(sizes) >= FEWEST:  # a whole number by itself
+        worth -= 40
+    if " " in gaps and any("-" in gap or "." in gap for gap in gaps):
+        worth -= 40 * gaps.count(" ")
+    elif sum(sizes) >= 13 and luhn("".join(text[a:b] for a, b in groups)):
+        worth += 30
+    return worth - 40 * sum("(" in gap for gap in gaps)
+
+
+def _numbers(text: str, groups: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(digits, start, end) of the numbers in a run of digit groups: the cut at its separators of the most worth."""
+    best: list[tuple[int, int]] = [(0, 0)]  # worth of the groups so far, groups in the last number (0: none ends here)
+    for end in range(1, len(groups) + 1):
+        top, digits = (best[end - 1][0], 0), 0
+        for first in range(end - 1, -1, -1):
+            digits += groups[first][1] - groups[first][0]
+            if digits > MOST:
+                break
+            if digits >= FEWEST:
+                top = max(top, (best[first][0] + _worth(text, groups[first:end]), end - first))
+        best.append(top)
+    end, out = len(groups), []
+    while end:
+        size = best[end][1]
+        if size:
+            a, b = groups[end - size][0], groups[end - 1][1]
+            out.append((sum(y - x for x, y in groups[end - size:end]), a - (text[a - 1:a] == "("), b))
+        end -= size or 1
+    yield from reversed(out)
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
-    """Further spans that look like personal data, none of them over a base span."""
+    """Further spans that look like personal data, none of them over a base span.
+
+    A run of digit groups is one number if it can be. A longer one, one that only two numbers without a checksum can
+    make up, and what a base span leaves of one are cut at their separators into numbers.
+    """
     found: list[Span] = []
     for m in _DIGITS.finditer(text):
         n = sum(map(str.isdigit, m[0]))
-        if 9 <= n <= 19 and not overlaps(*m.span(), base):
+        if n < FEWEST:
+            continue
+        taken = [s for s in base if overlaps(*m.span(), [s])]
+        if not taken and (n < 2 * FEWEST or n <= MOST and luhn("".join(filter(str.isdigit, m[0])))):
             found.append(("card" if n >= 13 else "phone", *m.span()))
+            continue
+        free: list[list[tuple[int, int]]] = [[]]
+        for g in _GROUP.finditer(text, *m.span()):
+            if overlaps(*g.span(), taken):
+                free.append([])
+            else:
+                free[-1].append(g.span())
+        found += [("card" if k >= 13 else "phone", a, b) for part in free for k, a, b in _numbers(text, part)]
     if _WORDED.search(text):
         found += [("email", *m.span()) for m in _SPELLED.finditer(text)
                   if re.search(r"dot|[\])]", m[0], re.IGNORECASE) and not overlaps(*m.span(), base)]

@@ -1,6 +1,10 @@
+import random
 from collections import Counter
 
+from made_texts import prose
+
 from tidemark.llm import licences
+from tidemark.llm.licence_texts import FULL, HEADERS
 
 FILES = [
     (1, "a/LICENSE", "Released under the MIT License."),
@@ -33,3 +37,24 @@ def test_no_python_in_the_plan(spark):
     files = spark.createDataFrame(FILES, "doc_id bigint, path string, text string")
     plan = licences.scan(files, "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert not any(name in plan for name in ("Python", "Pandas", "Arrow"))
+
+
+def test_full_texts_headers_and_identifiers(spark):
+    rng = random.Random(6)
+    around = lambda text: f"{prose(rng, 150)} {text} {prose(rng, 150)}"
+    rows, want = [], {}
+    for name, text in FULL:
+        rows += [(f"f/{name}/LICENSE", f"Copyright (c) 2020 Ann Smith\n\n{text}"), (f"f/{name}/a.py", "print(1)")]
+        want |= {f"f/{name}/LICENSE": (name, "file"), f"f/{name}/a.py": (name, "inherited")}
+    for k, (name, text) in enumerate(HEADERS):
+        rows.append((f"h{k}/a.py", f"# Copyright 2020 Ann Smith\n{text}\n{prose(rng, 300)}"))
+        want[f"h{k}/a.py"] = (name, "header")
+    for k, (name, text) in enumerate(licences.TEMPLATES):
+        rows.append((f"l{k}/a.py", around(text)))
+        want[f"l{k}/a.py"] = (name, "header")
+    rows += [("s/a.py", "// SPDX-License-Identifier: MIT\ncode"), ("s/b.py", "SPDX-License-Identifier: GPL-3.0-or-later"),
+             ("s/c.py", "SPDX-License-Identifier: Zlib"), ("s/d.py", around("copyright of the letters"))]
+    want |= {"s/a.py": ("MIT", "header"), "s/b.py": ("GPL-3.0", "header"), "s/c.py": (None, None), "s/d.py": (None, None)}
+    files = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, path string, text string")
+    got = {r.path: (r.licence, r.found) for r in licences.scan(files, "doc_id").collect()}
+    assert {p: (got[p], w) for p, w in want.items() if got[p] != w} == {}

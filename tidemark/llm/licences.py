@@ -1,4 +1,9 @@
-"""Licence scan in DataFrame operations: TF-IDF cosine of statements to templates, then inheritance down directories."""
+"""Licence scan in DataFrame operations: TF-IDF cosine of statements to templates, then inheritance down directories.
+
+Where the hinted lines together resemble no template, and in all licence files, parts of the text are compared with
+standard headers and full licence texts as well: each hinted line, windows of words around the hints, and licence files
+whole.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import FULL, HEADERS
 from .tables import stored
 
 # Wording that licence headers and files use (fixed values).
@@ -27,6 +33,13 @@ TEMPLATES = (
 HINTS = ("license", "licence", "creative commons", "public domain", "redistribution", "copyright", "spdx")
 WORD = "[a-z0-9.]*[a-z0-9]"
 THRESHOLD = 0.5
+# What parts of a text are compared with, several a licence.
+TEXTS = (*TEMPLATES, *HEADERS, *FULL)
+NAMES = tuple(sorted({name for name, _ in TEXTS}))
+# Words of a window; windows start at every quarter of their size and hold a word with a hint.
+WINDOWS = (6, 12, 24, 48, 96, 192)
+HINT_WORD = "licen[cs]e|commons|domain|redistribution|copyright|spdx"
+SPDX = r"(?i)spdx-license-identifier:[ \t]*([a-z0-9.-]+?)(?:-only|-or-later|[+])?(?![a-z0-9.+-])"
 # Names of files that speak for their directory.
 FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
@@ -45,11 +58,11 @@ def _hinted(low: Column) -> Column:
     return reduce(or_, (low.contains(hint) for hint in HINTS))
 
 
-def _vectors(terms: DataFrame, key: str, weights: DataFrame) -> DataFrame:
-    """(key, term, weight) with unit length; terms: (key, term)."""
+def _vectors(terms: DataFrame, key: str, weights: DataFrame, n: int) -> DataFrame:
+    """(key, term, weight) with unit length; terms: (key, term) over ``n`` templates."""
     counted = terms.groupBy(key, "term").agg(F.count("*").alias("tf")).join(weights, "term", "left")
     # A term of no template adds length only, with the weight of a term that is in none.
-    raw = counted.select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0 + _log(len(TEMPLATES) + 1)))).alias("w"))
+    raw = counted.select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0 + _log(n + 1)))).alias("w"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -60,23 +73,58 @@ def _log(x: float) -> float:
     return math.log(x)
 
 
+def _nearest(terms: DataFrame, key: str, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
+    """(key, licence, similarity): the template most similar to the terms of each key, the first by name on a tie."""
+    n = len(templates)
+    made = terms.sparkSession.createDataFrame([(k, *t) for k, t in enumerate(templates)],
+                                              "template int, licence string, wording string")
+    wording = made.select("template", F.explode(words(F.col("wording"))).alias("term"))
+    weights = wording.distinct().groupBy("term").agg(
+        (F.log(F.lit(n + 1.0) / (1.0 + F.count("*"))) + 1.0).alias("idf"))
+    known = _vectors(wording, "template", weights, n).withColumnRenamed("weight", "other")
+    said = _vectors(terms, key, weights, n)
+    scored = said.join(F.broadcast(known), "term").groupBy(key, "template").agg(
+        F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("similarity"))
+    best = scored.where(F.col("similarity") >= threshold).join(
+        F.broadcast(made.select("template", "licence")), "template").groupBy(key).agg(
+        F.min(F.struct((-F.col("similarity")).alias("minus"), "licence")).alias("best"))
+    return best.select(key, F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("similarity"))
+
+
 def classify(statements: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(statement, licence, similarity) of the statements that resemble a template: the most similar one, the first by
     name on a tie."""
-    spark = statements.sparkSession
-    templates = spark.createDataFrame(list(TEMPLATES), "licence string, wording string")
-    terms = templates.select("licence", F.explode(words(F.col("wording"))).alias("term"))
-    n = len(TEMPLATES)
-    weights = terms.distinct().groupBy("term").agg(
-        (F.log(F.lit(n + 1.0) / (1.0 + F.count("*"))) + 1.0).alias("idf"))
-    known = _vectors(terms, "licence", weights)
-    said = _vectors(statements.select("statement", F.explode(words(F.col("statement"))).alias("term")), "statement",
-                    weights)
-    scored = said.join(F.broadcast(known.withColumnRenamed("weight", "other")), "term").groupBy(
-        "statement", "licence").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("similarity"))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("statement").agg(
-        F.min(F.struct((-F.col("similarity")).alias("minus"), "licence")).alias("best"))
-    return best.select("statement", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("similarity"))
+    return _nearest(statements.select("statement", F.explode(words(F.col("statement"))).alias("term")), "statement",
+                    TEMPLATES, threshold)
+
+
+def classify_parts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(body, whole, licence, similarity) of texts (body, whole, text) with a part that resembles one of TEXTS.
+
+    An SPDX identifier of a known licence counts before all; then the most similar part. The whole text is a part only
+    if ``whole`` is set. Windows are made by equi-joins on their numbers, so a text costs its words a constant number of
+    times however many hints it has.
+    """
+    said = F.lower(F.regexp_extract("text", SPDX, 1))
+    names = F.create_map(*(F.lit(x) for name in NAMES for x in (name.lower(), name)))
+    spdx = texts.select("body", "whole", F.element_at(names, said).alias("licence"), F.lit(-2.0).alias("minus")).where(
+        "licence is not null")
+    word = texts.select("body", "whole", F.posexplode(words(F.col("text"))).alias("at", "term"))
+    line = texts.select("body", "whole", F.posexplode(F.split(statement(F.col("text")), "\n", -1)).alias("at", "line"))
+    lines = line.select("body", "whole", F.lit(1).alias("size"), F.col("at").cast("bigint").alias("first"),
+                        F.explode(words(F.col("line"))).alias("term"))
+    full = word.where("whole").select("body", "whole", F.lit(0).alias("size"), F.lit(0).cast("bigint").alias("first"), "term")
+    sizes = F.explode(F.array(*(F.lit(n) for n in WINDOWS)))
+    starts = F.explode(F.transform(F.array(*(F.lit(k) for k in range(4))), lambda k: F.floor(F.col("at") * 4 / F.col("size")) - k))
+    placed = word.withColumn("size", sizes).withColumn("first", starts).where("first >= 0")
+    window = ["body", "whole", "size", "first"]
+    hinted = placed.where(F.col("term").rlike(HINT_WORD)).select(*window).distinct()
+    parts = placed.join(hinted, window, "left_semi").select(*window, "term").unionByName(lines).unionByName(full)
+    near = _nearest(parts.select(F.struct(*window).alias("part"), "term"), "part", TEXTS, threshold)
+    found = near.select("part.body", "part.whole", "licence", (-F.col("similarity")).alias("minus")).unionByName(spdx)
+    best = found.groupBy("body", "whole").agg(F.min(F.struct("minus", "licence")).alias("best"))
+    return best.select("body", "whole", F.col("best.licence").alias("licence"),
+                       F.least(F.lit(1.0), -F.col("best.minus")).alias("similarity"))
 
 
 def _directories(path: Column) -> Column:
@@ -96,16 +144,31 @@ def scan(files: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     state nothing, a null path inherits nothing; rows with equal ``key`` and path are each answered from their own
     statement. An empty table gives no rows.
     """
-    # Texts are read once; everything below works on paths and statements.
-    noted = stored(files.select(key, "path", statement(F.col("text")).alias("statement")), "statements")
-    own = classify(noted.where(F.col("statement").isNotNull()).select("statement").distinct(), threshold)
-    # Most files state nothing: they stay out of the join, where they would be one key.
-    silent = noted.where(F.col("statement").isNull()).select(
-        key, "path", F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("similarity"))
-    seen = noted.where(F.col("statement").isNotNull()).join(own, "statement", "left").select(
-        key, "path", "licence", "similarity").unionByName(silent)
+    # Texts are read once; everything below works on paths, statements and the texts that have one.
+    said = statement(F.col("text"))
     name = F.element_at(F.split("path", "/", -1), -1)
-    seen = stored(seen.withColumn("is_file", F.coalesce(name.rlike(FILE), F.lit(False))), "licences")
+    noted = stored(files.select(
+        key, "path", said.alias("statement"), F.coalesce(name.rlike(FILE), F.lit(False)).alias("is_file"),
+        F.when(said.isNotNull(), F.col("text")).alias("text"), F.when(said.isNotNull(), F.xxhash64("text")).alias("body")),
+        "statements")
+    # Most files state nothing: they stay out of the joins, where they would be one key.
+    silent = noted.where(F.col("statement").isNull()).select(
+        key, "path", "is_file", F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("similarity"))
+    stating = noted.where(F.col("statement").isNotNull())
+    own = classify(stating.select("statement").distinct(), threshold)
+    first = stored(stating.join(own, "statement", "left").select(
+        key, "path", "is_file", "text", "body", "licence", "similarity"), "first")
+    # Copies of a text are compared once.
+    open_ = first.where(F.col("is_file") | F.col("licence").isNull())
+    parts = classify_parts(open_.select("body", F.col("is_file").alias("whole"), "text").dropDuplicates(["body", "whole"]),
+                           threshold).select("body", F.col("whole").alias("is_file"), F.col("licence").alias("other"),
+                                             F.col("similarity").alias("closer"))
+    better = F.col("closer").isNotNull() & (F.col("similarity").isNull() | F.col("is_file") & (
+        F.col("closer") > F.col("similarity")))
+    seen = first.drop("text").join(parts, ["body", "is_file"], "left").select(
+        key, "path", "is_file", F.when(better, F.col("other")).otherwise(F.col("licence")).alias("licence"),
+        F.when(better, F.col("closer")).otherwise(F.col("similarity")).alias("similarity")).unionByName(silent)
+    seen = stored(seen, "licences")
     granted = seen.where(F.col("is_file") & F.col("licence").isNotNull()).select(
         F.element_at(_directories(F.col("path")), 1)["directory"].alias("directory"), "licence", "similarity"
     ).groupBy("directory").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "licence")).alias("grant"))

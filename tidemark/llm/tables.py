@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.scratch import scratch_path
 
@@ -32,3 +33,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A key with more than one of so many rows is joined apart, so at most that many keys are.
+HOT_SHARE = 1000
+
+
+def join_names(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` left join ``names`` (one row a key). Rows of hot keys stay where they are: these keys, at most HOT_SHARE
+    of them whatever the data, are broadcast."""
+    counted = rows.groupBy(key).count()
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    hot = counted.where(F.col("count") * HOT_SHARE > total).where(F.col("count") > 1).select(key)
+    hot = stored(hot.join(names, key, "left"), "hot")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(names, key, "left")
+    return cold.unionByName(rows.join(F.broadcast(hot), key))

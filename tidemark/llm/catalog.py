@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licences, neardup, packing, pii, quality, repeats, secrets, simhash, urls
+from . import decontaminate, langid, licences, neardup, negatives, packing, pii, quality, repeats, secrets, simhash, urls
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_simhash_near_dedup")
 def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op12_hard_negative_mining", negatives.ORACLE_SQL)
+def op12_hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(table(spark, folder, "embeddings"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licences, neardup, negatives, packing, pii, quality, repeats, secrets, simhash, urls
+from . import audit, decontaminate, langid, licences, neardup, negatives, packing, pii, quality, repeats, secrets, simhash, urls
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_hard_negative_mining", negatives.ORACLE_SQL)
 def op12_hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(table(spark, folder, "embeddings"))
+
+
+@query("op11_filter_interaction_audit", audit.ORACLE_SQL)
+def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

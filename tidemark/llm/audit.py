@@ -169,29 +169,38 @@ def _passed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id bigint, part string, mask int, name bigint, least bigint, text string")
 
 
-def adaptive_prefixes(texts: DataFrame, prefix: int = PREFIX, share: int = SHARE) -> list[tuple[int, list[str]]]:
-    """(length, prefixes) that too many bytes lie under, level by level: at most ``share`` a level, whatever the data."""
-    levels: list[tuple[int, list[str]]] = []
-    rows, total = texts.select("text", F.octet_length("text").alias("bytes")), None
+def _prefix(length: int):
+    """A prefix as a number. Two prefixes of one number are parted later or not at all; equal texts stay together."""
+    return F.xxhash64(F.left("text", F.lit(length)))
+
+
+def _heavy(level: tuple[int, list[int]]):
+    return F.expr(f"xxhash64(left(text, {level[0]})) IN ({', '.join(map(str, level[1]))})")
+
+
+def adaptive_prefixes(texts: DataFrame, total: int, prefix: int = PREFIX, share: int = SHARE) -> list[tuple[int, list[int]]]:
+    """(length, prefixes) that too many of the ``total`` bytes lie under, level by level: at most ``share`` numbers a level,
+    whatever the data. A prefix of one text only cannot be parted and is not listed."""
+    levels: list[tuple[int, list[int]]] = []
+    rows = texts.select("text")
     while True:
-        if total is None:
-            total = rows.agg(F.sum("bytes")).first()[0] or 0
-        heavy = rows.where(F.char_length("text") > prefix).groupBy(F.left("text", F.lit(prefix)).alias("head")).agg(
-            F.sum("bytes").alias("bytes")).where(F.col("bytes") * share > total)
+        whole = F.xxhash64("text")
+        heavy = rows.groupBy(_prefix(prefix).alias("head")).agg(
+            F.sum(F.octet_length("text")).alias("bytes"), F.min(whole).alias("a"), F.max(whole).alias("b")
+        ).where((F.col("bytes") * share > total) & (F.col("a") < F.col("b")))
         found = [r["head"] for r in heavy.select("head").collect()]
         if not found:
             return levels
         levels.append((prefix, found))
-        rows = rows.join(F.broadcast(heavy.select("head")), F.left("text", F.lit(prefix)) == F.col("head"), "left_semi")
+        rows = rows.where(_heavy(levels[-1]))
         prefix *= 4
 
 
-def _head(levels: list[tuple[int, list[str]]], prefix: int):
-    """The shortest prefix of a text that is not too heavy."""
-    head = F.left("text", F.lit(prefix * 4 ** len(levels)))
-    for length, heavy in reversed(levels):
-        head = F.when(F.left("text", F.lit(length)).isin(heavy) if len(heavy) < 100 else F.array_contains(
-            F.lit(heavy), F.left("text", F.lit(length))), head).otherwise(F.left("text", F.lit(length)))
+def _head(levels: list[tuple[int, list[int]]], prefix: int):
+    """The number of the shortest prefix of a text that is not too heavy."""
+    head = _prefix(prefix * 4 ** len(levels))
+    for level in reversed(levels):
+        head = F.when(_heavy(level), head).otherwise(_prefix(level[0]))
     return head
 
 
@@ -200,11 +209,11 @@ def least_ids(texts: DataFrame, prefix: int = PREFIX, share: int = SHARE, size:
 
     A text that a third of all rows hold is one row a batch here, and its terminal holds numbers only.
     """
-    levels = adaptive_prefixes(texts, prefix, share)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    levels = adaptive_prefixes(texts, total, prefix, share)
     ranges = max(-(-total // size), texts.sparkSession.sparkContext.defaultParallelism)
     return (
-        texts.select("text", "name", "least").repartitionByRange(int(ranges), _head(levels, prefix))
+        texts.select("text", "name", "least").repartitionByRange(int(ranges), F.left("text", F.lit(prefix)), _head(levels, prefix))
         .sortWithinPartitions("text").mapInArrow(_minima(size), "name bigint, least bigint")
     )
 

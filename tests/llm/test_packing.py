@@ -12,7 +12,6 @@ from tokenizers import Tokenizer
 from tidemark.llm import packing
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)

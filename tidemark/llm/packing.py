@@ -68,14 +68,14 @@ class _Words:
     The byte-level pattern always cuts before a single space between other characters, so such a text's ids are those
     of its words, each with its leading space; it also cuts between a letter and a full stop or comma. Texts with white
     space beside a space are encoded whole. New words of ASCII and Latin letters go through the same merges in a faster
-    library, all others through the tokenizer itself.
+    library, all others through the tokenizer itself. A text that holds the string of an added token is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranked = _ranked_encoder(path)
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # ids of a space and the word
@@ -96,6 +96,8 @@ class _Words:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if any(map(text.__contains__, self.special)):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) + len(self.spaced) > REMEMBERED:
             self.known, self.spaced = {}, {}
         if text.replace("\n", "").isprintable():  # then spaces and line feeds are all the white space there is

@@ -1,5 +1,6 @@
 """Personal data, secrets and urls against plain patterns."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -158,6 +159,42 @@ def test_battery_and_limits():
     assert secrets.limits(grid, 0.05)[:2] == [10, secrets.LEVELS]  # the first level that no decoy reaches
 
 
+def test_secrets_with_nulls_between_tokens(make_docs):
+    pairs = [(1, "x abcdefghijkl"), (2, None), (3, "mnopqrstuvwxyz y"), (4, ""), (5, None), (6, "z" * 400_000), (None, "q=1")]
+    docs = make_docs(pairs).coalesce(1)
+    got = secrets.find(docs, secrets.calibrate(docs)).collect()
+    assert [(r.doc_id, r.spans) for r in got] == [(i, "") for i, _ in pairs]
+
+
+def test_decoys_cover_whole_texts_once():
+    rng = random.Random(4)
+    texts = [prose(rng, 4000), "", "a" * 30 + " bc", None, prose(rng, 9)]
+    data, edges = secrets.decoys(*next(iter(secrets.text_slices(pa.array(texts))))[2:])
+    want = []
+    for text in texts:
+        stream = "".join(w for w in re.findall(r"[A-Za-z0-9+/_-]+", text or "") if len(w) < 20)
+        sizes = itertools.cycle(secrets.PIECES.tolist())
+        while stream:
+            n = next(sizes)
+            want.append(stream[:n])
+            stream = stream[n:]
+    assert [data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])] == want
+
+
+@pytest.mark.parametrize("planted", [1, 5, 60])
+def test_few_short_tokens_are_found(make_docs, planted):
+    rng = random.Random(planted)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    # Ordinary words of mixed case and some numbers, and long ordinary compounds as candidates.
+    pairs = [(k, " ".join(w.title() if rng.random() < 0.2 else w for w in prose(rng, 400).split()) + f" {k}") for k in range(400)]
+    pairs += [(400 + k, "ordinary" + "-".join(prose(rng, 12).split())[:30] + " text") for k in range(40)]
+    keys = {k: "".join(rng.choice(letters) for _ in range(22)) for k in rng.sample(range(400), planted)}
+    pairs = [(k, t + " " + keys[k] if k in keys else t) for k, t in pairs]
+    docs = make_docs(pairs)
+    got = {r.doc_id for r in secrets.find(docs, secrets.calibrate(docs)).collect() if r.n_random}
+    assert len(got & set(keys)) >= 0.9 * planted and len(got - set(keys)) <= max(1, 0.05 * len(got))
+
+
 @pytest.mark.parametrize("empty", ["pii", "secrets"])
 def test_empty_tables(make_docs, empty):
     docs = make_docs([])

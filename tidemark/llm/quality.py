@@ -84,15 +84,28 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> Linear:
         docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``rows`` pairs of numbers
         .dropDuplicates(["doc_id"])
         .mapInArrow(_training_rows, "doc_id bigint, target int, index array<int>, value array<float>")
-        .toArrow().sort_by("doc_id")
     )
-    index, value = sample["index"].combine_chunks(), sample["value"].combine_chunks()
-    ids = sample["doc_id"].to_numpy()
-    sizes = np.diff(index.offsets.to_numpy()) if len(index) else np.zeros(0, np.int64)
-    held = mix(ids.astype(np.uint64) + np.uint64(17)) % np.uint64(4) == 0
-    return fit(np.repeat(np.arange(len(ids)), sizes), index.flatten().to_numpy().astype(np.int64),
-               value.flatten().to_numpy().astype(float), sample["target"].to_numpy().astype(float), 2 * HALF,
-               held_out=held)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The model as one row. Fitted by a task, since the sample's features are many times the driver's share."""
+        held = list(batches)
+        if not held:
+            held = [pa.RecordBatch.from_arrays([pa.array([], t) for t in (
+                pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()))],
+                names=["doc_id", "target", "index", "value"])]
+        rows = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
+        index, value = (rows[c].combine_chunks() for c in ("index", "value"))
+        ids = rows["doc_id"].to_numpy()
+        sizes = np.diff(index.offsets.to_numpy()) if len(index) else np.zeros(0, np.int64)
+        held_out = mix(ids.astype(np.uint64) + np.uint64(17)) % np.uint64(4) == 0
+        model = fit(np.repeat(np.arange(len(ids), dtype=np.int32), sizes), index.flatten().to_numpy(),
+                    value.flatten().to_numpy(), rows["target"].to_numpy().astype(float), 2 * HALF, held_out=held_out)
+        yield pa.RecordBatch.from_pydict({
+            "weights": pa.array([model.weights.tobytes()], pa.binary()),
+            **{k: pa.array([getattr(model, k)], pa.float64()) for k in ("intercept", "slope", "shift")}})
+
+    one = sample.repartition(1).mapInArrow(fitted, "weights binary, intercept double, slope double, shift double").first()
+    return Linear(np.frombuffer(one["weights"]), one["intercept"], one["slope"], one["shift"])
 
 
 def _repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

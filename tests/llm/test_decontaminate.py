@@ -85,3 +85,18 @@ def test_empty_tables(spark, make_docs):
     assert d.contaminated(make_docs([]), items_of(spark, [(1, "a b c")])).count() == 0
     assert d.contaminated(make_docs([(1, "a b c")]), items_of(spark, [])).count() == 0
     assert d.clean(make_docs([(1, "a b c")]), items_of(spark, [])).count() == 1
+
+
+def test_large_parts_of_an_item_are_leaks(spark, make_docs):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 60)) for i in range(30)]
+    docs, want = [], set()
+    for k in range(90):
+        words, item = prose(rng, 200).split(), items[k % 30][1].split()
+        part = {0: item[:40], 1: item[20:], 2: item[:12]}[k // 30]
+        docs.append((k, " ".join(words[:50] + part + words[50:])))
+        if k < 60:
+            want.add((k, k % 30))
+    got = d.contaminated(make_docs(docs), items_of(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {r.doc_id for r in d.clean(make_docs(docs), items_of(spark, items)).collect()} == set(range(60, 90))

@@ -190,25 +190,31 @@ def _share(part: tuple[int, np.ndarray], words: np.ndarray) -> float:
     return float(np.isin(wanted, shingle_hashes(words, np.zeros(len(words), np.int64), width)[0]).mean())
 
 
-def _hits(texts: pa.Array, classes: list[LengthClass], threshold: float,
-          overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+def _hits(texts: pa.Array, classes: list[LengthClass], threshold: float, overlap: float,
+          most: float) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item id, score, question overlap, answer overlap) of one batch of lower-case texts."""
     for first, stop, data, offsets in text_slices(texts):
         words, owner = _words(data, offsets)
         for index in classes if len(words) else ():
             for text, a, b, item, score in search(index, words, owner, stop - first, threshold):
-                parts = [_share(part[item], words[a:b]) for part in (index.question, index.answer)]
-                if min(parts) >= overlap:
+                both = index.question[item], index.answer[item]
+                parts = [_share(part, words[a:b]) for part in both]
+                size = [len(wanted) for _, wanted in both]
+                # A large part of the item counts whichever of its two parts it lies in.
+                if min(parts) >= overlap or sum(size) and np.dot(size, parts) >= most * sum(size):
                     yield first + text, int(index.items[item]), score, *parts
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5,
+                 most: float = 0.6) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document that holds a test item.
 
     Case and punctuation do not count. A passage of the document must reach ``threshold`` of the item's own BM25 score
     and hold at least ``overlap`` of the word triples of both parts of the item: the first two thirds of its words as
-    the question, the rest as the answer. Clean documents give no row. Null or empty texts and items without words
-    match nothing; repeated documents and items give one row per pair of ids; no documents or no items: no rows.
+    the question, the rest as the answer; or ``most`` of the triples of both together, so that a leak of two thirds of an
+    item counts whichever part it spares. Clean documents give no row. Null or empty texts and items without words match
+    nothing; long texts are read whole, window by window; repeated documents and items give one row per pair of ids; no
+    documents or no items: no rows. Scores reach a limit or not, so there are no ties; other columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
@@ -219,7 +225,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = list(_hits(batch.column("text"), shared.value, threshold, overlap))
+                rows = list(_hits(batch.column("text"), shared.value, threshold, overlap, most))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()),
@@ -231,7 +237,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
         F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, most: float = 0.6) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item."""
     lowered = "lower of text"
     for classes in build_parts(items):
@@ -240,7 +246,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: fl
         def sift(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hit = np.zeros(batch.num_rows, bool)
-                hit[[h[0] for h in _hits(batch.column(lowered), shared.value, threshold, overlap)]] = True
+                hit[[h[0] for h in _hits(batch.column(lowered), shared.value, threshold, overlap, most)]] = True
                 yield batch.drop_columns([lowered]).filter(pa.array(~hit))
 
         docs = docs.withColumn(lowered, F.lower("text")).mapInArrow(sift, docs.schema)

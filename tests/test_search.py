@@ -2,11 +2,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOP_WORDS
 from tidemark.functions.vectors import cosine
+from tidemark.operators import blockmax
 from tidemark.operators import index as ix
 from tidemark.operators import search as se
 from tidemark.operators.keyword import keyword_search
@@ -69,10 +71,10 @@ def brute_hybrid(chunks, query, k):
     return [(qid, i, s) for s, i in sorted(scored, key=lambda p: (-p[0], p[1]))[:k]]
 
 
-@pytest.mark.parametrize("fit", [True, False])
-def test_bm25_matches_brute_force(world, monkeypatch, fit):
+@pytest.mark.parametrize("part", [500_000, 7])
+def test_bm25_matches_brute_force(world, monkeypatch, part):
     chunks, queries, cdf, qdf = world
-    monkeypatch.setattr(se, "fits", lambda df: fit)
+    monkeypatch.setattr(blockmax, "PART_TERMS", part)
     got = {(r.query_id, r.chunk_id): r.bm25_raw for r in se.bm25_raw(qdf, ix.index_chunks(cdf)).collect()}
     want = {}
     for qid, box, text, _ in queries:
@@ -187,3 +189,45 @@ def test_retrievers(world, name):
     back.index(cdf)
     got = back.search(qdf, 3).collect()
     assert {r.rank for r in got} <= {1, 2, 3} and {r.query_id for r in got} == set(range(6))
+
+
+def test_block_maxima_lose_no_chunk(spark, rows, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    texts = [("c" if k % 9 else "d", k, " ".join(rng.choices(words, k=rng.choice([0, 3, 40, 90, 300])))) for k in range(700)]
+    texts += [("c", 700 + k, texts[10][2]) for k in range(30)] + [(None, 800, "w1 w2"), ("e", 801, None)]
+    index = ix.index_chunks(spark.createDataFrame(texts, "container string, chunk_id bigint, content string"))
+    asked = [(q, "c" if q % 5 else "d", " ".join(rng.choices(words, k=rng.choice([1, 2, 4, 12])))) for q in range(40)]
+    asked += [(50, "none", "w1"), (51, None, "w1"), (52, "c", "nowhere"), (53, "c", None)]
+    terms = se.query_terms(spark.createDataFrame(asked, "query_id bigint, container string, text string"))
+    monkeypatch.setattr(blockmax, "BLOCK", 32)
+    stored = ix.Index(index.chunks, index.postings, index.stats)
+
+    def best(frame):
+        return rows(se.top_k(frame.withColumn("bm25_raw", F.round("bm25_raw", 6)), ["query_id", "container"],
+                             [F.col("bm25_raw").desc(), F.col("chunk_id")], 5))
+
+    want = best(blockmax.bm25_scores(terms, index, 1.2, 0.75))
+    assert want and {r[0] for r in want} <= set(range(40))
+    for own, part in ((index, 500_000), (stored, 500_000), (index, 30)):
+        assert best(blockmax.bm25_scores(terms, own, 1.2, 0.75, 5, part)) == want
+
+
+def test_blocks_score_few_chunks():
+    rng = np.random.default_rng(2)
+    n, terms = 3000, 6
+    held = rng.random((n, terms)) < [0.9, 0.7, 0.5, 0.02, 0.01, 0.3]
+    uses = rng.integers(1, 4, (n, terms))
+    dl = rng.integers(50, 400, n)
+    weights = np.log((n - held.sum(0) + 0.5) / (held.sum(0) + 0.5) + 1)
+    batch = blockmax.Batch(pa.array([0]), ["c"], np.array([0, terms]), np.arange(terms), weights, {"c": float(dl.mean())}, 1.2, 0.75)
+    rows = pa.record_batch({"container": ["c"] * n, "chunk_id": list(range(n)), "dl": dl,
+                            "terms": [np.flatnonzero(h).astype(np.int32) for h in held], "uses": [u[h] for u, h in zip(uses, held)]})
+    full = (held * weights * blockmax.gains(uses.astype(float), dl[:, None].astype(float), dl.mean(), 1.2, 0.75)).sum(1)
+    least = np.sort(full)[-10]
+    block = blockmax.Block(rows, batch)
+    place, score, scored = block.scores(batch.terms, weights, least)
+    assert sorted(place) == sorted(np.flatnonzero(full >= least)) and np.allclose(score, full[place])
+    assert scored < 0.1 * (full > 0).sum()
+    assert block.scores(batch.terms, weights, 1e9)[2] == 0
+    assert len(block.scores(batch.terms, weights, -np.inf)[0]) == (full > 0).sum()

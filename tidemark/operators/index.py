@@ -17,11 +17,15 @@ from ..plans.skew import first_row, fits, spread_few_files
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of one retrieval index; ``container`` is the first key of each."""
+    """Tables of one retrieval index; ``container`` is the first key of each.
+
+    ``forward`` (container, chunk_id, dl, terms), where the index comes from texts, is one row a chunk.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     stats: DataFrame
+    forward: DataFrame | None = None
 
     def term_df(self) -> DataFrame:
         """Number of chunks per (container, term)."""
@@ -49,6 +53,13 @@ def postings(chunks: DataFrame) -> DataFrame:
     return term_counts(chunks, "chunk_id", "content", bm25_tokens).select("container", "term", "chunk_id", "dl", "tf")
 
 
+def forward_rows(chunks: DataFrame) -> DataFrame:
+    """``(container, chunk_id, dl, terms)``: the counted terms of each chunk as one row, chunks without any included."""
+    rows = spread_few_files(chunks.select("container", "chunk_id", "content"), "container", "chunk_id")
+    return rows.select("container", "chunk_id", term_runs(bm25_tokens(F.col("content"))).alias("terms")).withColumn(
+        "dl", F.coalesce(F.get("terms.dl", F.lit(0)), F.lit(0)))
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """``(container, n_docs, total_len, avgdl)``."""
     texts = spread_few_files(
@@ -63,7 +74,11 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 def index_chunks(chunks: DataFrame) -> Index:
     """Index of ready chunks ``(container, chunk_id, content, …)``."""
-    return Index(chunks, postings(chunks), corpus_stats(chunks))
+    forward = forward_rows(chunks)
+    listed = forward.select("container", "chunk_id", F.inline("terms")).select("container", "term", "chunk_id", "dl", "tf")
+    stats = forward.groupBy("container").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_len")).withColumn(
+        "avgdl", F.col("total_len") / F.col("n_docs"))
+    return Index(chunks, listed, stats, forward)
 
 
 def _line() -> Column:

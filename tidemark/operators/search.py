@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
 from ..plans.scratch import cut_lineage
-from ..plans.skew import first_row, fits, measured_join, top_k
+from ..plans.skew import first_row, top_k
+from .blockmax import bm25_scores
 from .blocks import block_top_k, streamed_top_k
 from .index import Index
 
@@ -34,32 +35,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_raw(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
-    """``(query_id, container, chunk_id, bm25_raw)`` for every chunk that shares a term.
-
-    A query batch measured to fit is sent to the postings, which are then neither shuffled for the
-    match nor for the sum. Larger batches meet them in a salted join.
-    """
-    terms = query_terms(queries)
-    fit = fits(terms)
-    wanted = terms.select("container", "term").distinct()
-    hits = index.postings.join(F.broadcast(wanted) if fit else wanted, ["container", "term"], "left_semi")
-    df = hits.groupBy("container", "term").agg(F.count("*").alias("df"))
-    weighted = (
-        terms.join(df, ["container", "term"])
-        .join(index.stats.select("container", "n_docs", "avgdl"), "container")
-        .select(
-            "query_id", "container", "term", "avgdl",
-            (F.col("qtf") * F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-            .alias("weight"),
-        )
-    )
-    matched = measured_join(weighted, hits, ["container", "term"], "chunk_id", fit)
-    gain = F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl")))
-    )
-    return matched.groupBy("query_id", "container", "chunk_id").agg(
-        F.sum(F.col("weight") * gain).alias("bm25_raw")
-    )
+    """``(query_id, container, chunk_id, bm25_raw)`` for every chunk that shares a term."""
+    return bm25_scores(query_terms(queries), index, k1, b)
 
 
 def bm25(queries: DataFrame, index: Index, normalise: bool = True, k1: float = K1,
@@ -79,9 +56,10 @@ def bm25(queries: DataFrame, index: Index, normalise: bool = True, k1: float = K
 def bm25_top_k(queries: DataFrame, index: Index, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """Best ``k`` chunks per (query, container) by BM25, with the normalised score beside it.
 
-    The best score of a query is its rank-1 row, so only the kept rows are normalised.
+    Only chunks that block maxima leave in reach of the first ``k`` are scored (``blockmax``). The best
+    score of a query is its rank-1 row, so only the kept rows are normalised.
     """
-    raw = bm25_raw(queries, index, k1, b).withColumn("bm25_raw", F.round("bm25_raw", DIGITS))
+    raw = bm25_scores(query_terms(queries), index, k1, b, k).withColumn("bm25_raw", F.round("bm25_raw", DIGITS))
     kept = top_k(raw, ["query_id", "container"], [F.col("bm25_raw").desc(), F.col("chunk_id")], k,
                  spread="chunk_id")
     best = F.max("bm25_raw").over(Window.partitionBy("query_id", "container"))

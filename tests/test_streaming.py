@@ -186,3 +186,28 @@ def test_two_writers_share_a_log(spark, tmp_path):
         feeds.append_chunks(stream, str(tmp_path / "data"), str(tmp_path / f"log-{name}")).awaitTermination()
     got = {r.chunk_id: r.content for r in feeds.current_chunks(spark, str(tmp_path / "data")).collect()}
     assert got == {1: "new", 2: "two", 3: "three"}
+
+
+def test_progress_follows_the_last_state(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(f"r{rng.randrange(2)}", f"q{rng.randrange(6)}", rng.choice("ab"), rng.choice(["running", "completed", "failed"]), at)
+            for at in range(120)]
+    # Late and repeated updates, updates of one time, and rows with gaps.
+    sent = rows + rng.sample(rows, 40) + [("r0", "q0", "a", "completed", 7), (None, "q", "a", "x", 1), ("r1", "q1", "a", None, 500)]
+    rng.shuffle(sent)
+    schema = "run_id string, question_id string, phase string, status string, at bigint"
+    for k in range(4):
+        spark.createDataFrame(sent[k::4], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    feeds.state_changes(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.parquet(f"{tmp_path}/out")
+    last = {}
+    for run, question, phase, status, at in sent:
+        if run and status:
+            last[run, question, phase] = max(last.get((run, question, phase), (at, status)), (at, status))
+    want = {}
+    for (run, _, phase), (_, status) in last.items():
+        want[run, phase, status] = want.get((run, phase, status), 0) + 1
+    assert {(r.run_id, r.phase, r.status): r.n for r in feeds.progress_totals(changes).collect()} == want
+    assert changes.where("change = -1").count() > 0

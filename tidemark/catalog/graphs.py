@@ -12,7 +12,8 @@ from ..operators import index as ix
 from ..operators import migrate as mg
 from ..operators.answer import search
 from ..plans.scratch import scratch_path
-from ..sources.tables import append_messages, read_graph, write_graph
+from ..sources.datasets import strip_answer_leak
+from ..sources.tables import append_messages, read_graph, write_graph, write_json
 from ..streaming import capture as cap
 from ..streaming import feeds
 from .base import Tables, query
@@ -421,6 +422,41 @@ def stream_progress(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{path}/out")
 
 
+@query("stream_states", """WITH s AS (SELECT user_id, event_id % 50 AS question, event_type, value,
+  row_number() OVER (PARTITION BY user_id, event_id % 50, event_type ORDER BY event_id DESC) AS late FROM events)
+SELECT user_id, event_type, CASE WHEN value < 20 THEN 'failed' ELSE 'completed' END AS status, count(*) AS n
+FROM s WHERE late = 1 GROUP BY ALL""")
+def stream_states(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "states")
+    rows = _stream(t, "events").withColumn("status", F.when(F.col("value") < 20, "failed").otherwise("completed")).withColumn(
+        "question", F.col("event_id") % 50)
+    feeds.state_changes(rows, "user_id", "question", "event_type", "status", "event_id").writeStream.format("parquet").option(
+        "path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return feeds.progress_totals(t.spark.read.parquet(f"{path}/out"), "user_id", "event_type")
+
+
+@query("answer_leak_stripped", """SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS shown, count(*) AS n
+FROM conversations GROUP BY conv_id""")
+def answer_leak_stripped(t: Tables) -> DataFrame:
+    told = t("conversations").select("conv_id", "turn", F.struct(
+        "turn", "role", F.coalesce("text", F.lit("")).alias("content"), (F.col("turn") % 2 == 0).alias("has_answer")).alias("m"))
+    held = told.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
+    bare = strip_answer_leak(held)
+    if "has_answer" in bare.schema["messages"].dataType.elementType.names:
+        raise ValueError("the answer mark is still there")
+    return bare.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])),
+                                               "\n").alias("shown"), F.size("messages").cast("bigint").alias("n"))
+
+
+@query("json_report", """SELECT event_type AS phase, count(*) AS n, count(*) FILTER (value < 2) AS failed FROM events GROUP BY event_type""")
+def json_report(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "report")
+    counts = t("events").groupBy(F.col("event_type").alias("phase")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") < 2).alias("failed"))
+    write_json(counts, path)
+    return t.spark.read.schema(counts.schema).json(path)
+
+
 @query("phase_rows", f"WITH {PHASE_CTES} SELECT run_id, question_id, phase, status, duration_ms, score FROM pl")
 def phase_rows(t: Tables) -> DataFrame:
     return phase_log(t).drop("started_at")

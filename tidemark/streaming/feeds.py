@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.index import Index, index_chunks
 from ..plans.skew import first_row
@@ -61,6 +65,41 @@ def live_progress(stream: DataFrame, run: str = "run_id", phase: str = "phase",
     return stream.groupBy(run, phase, status).agg(F.count("*").alias("n"))
 
 
+def state_changes(stream: DataFrame, run: str = "run_id", question: str = "question_id", phase: str = "phase",
+                  status: str = "status", at: str = "at") -> DataFrame:
+    """(run, phase, status, change): +1 where a question enters a status, -1 where it leaves one.
+
+    The state of a (run, question) is the last status of each of its phases, by ``at`` (a number), of equal ones by the
+    greater name. Repeated and late rows change nothing, and a batch that sees several updates emits only their outcome,
+    so sums over any batches are the counts of the last state (``progress_totals``). Rows without run, question, phase,
+    status or ``at`` count nowhere.
+    """
+    rows = stream.select(run, question, phase, status, F.col(at).cast("bigint").alias(at)).na.drop()
+    schema = T.StructType([rows.schema[run], rows.schema[phase], T.StructField("status", T.StringType()),
+                           T.StructField("change", T.LongType())])
+    kept = T.StructType([T.StructField("phases", T.ArrayType(rows.schema[phase].dataType)),
+                         T.StructField("ats", T.ArrayType(T.LongType())),
+                         T.StructField("statuses", T.ArrayType(T.StringType()))])
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = {p: (a, s) for p, a, s in zip(*state.get, strict=True)} if state.exists else {}
+        now = dict(before)
+        for batch in batches:
+            for p, s, a in zip(batch[phase].tolist(), batch[status].tolist(), batch[at].tolist(), strict=True):
+                now[p] = max(now.get(p, (a, s)), (a, s))
+        state.update((list(now), [a for a, _ in now.values()], [s for _, s in now.values()]))
+        moved = [(p, before.get(p, (0, None))[1], s) for p, (_, s) in now.items() if before.get(p, (0, None))[1] != s]
+        out = [(key[0], p, old, -1) for p, old, _ in moved if old is not None] + [(key[0], p, new, 1) for p, _, new in moved]
+        yield pd.DataFrame(out, columns=schema.names)
+
+    return rows.groupBy(run, question).applyInPandasWithState(follow, schema, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def progress_totals(changes: DataFrame, run: str = "run_id", phase: str = "phase") -> DataFrame:
+    """(run, phase, status, n) of the last states, from all changes so far."""
+    return changes.groupBy(run, phase, "status").agg(F.sum("change").alias("n")).where("n <> 0")
+
+
 def hourly_progress(stream: DataFrame, ts: str, phase: str, watermark: str = "1 hour") -> DataFrame:
     """Counts per hour and phase; rows later than the watermark are dropped and counted by Spark."""
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import salted_join
 from .columnsort import rounds
 from .kernels import Rolling, mix, text_slices
-from .tables import stored
+from .tables import HOT_SHARE, stored
 
 LENGTH = 400
 WINDOW = 192
@@ -225,8 +226,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """
     found = stored(anchors(texts), "anchors")
     shared = found.groupBy("middle").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")
-                                         ).where("n > 1").select("middle", F.expr("a = b").alias("alike"))
-    members = stored(found.join(shared, "middle"), "members")
+                                         ).where("n > 1").select("middle", "n", F.expr("a = b").alias("alike"))
+    shared = stored(shared, "shared")
+    # Anchors of a middle with more than one of HOT_SHARE anchors stay where they are: at most so many middles are sent out.
+    often = F.col("n") * HOT_SHARE > found.count()
+    hot, rest = (shared.where(w).drop("n") for w in (often, ~often))
+    members = stored(found.join(F.broadcast(hot.select("middle")), "middle", "left_anti").join(rest, "middle").unionByName(
+        found.join(F.broadcast(hot), "middle")), "members")
     sure = members.where("alike").select("id", "place")
     mixed = members.where("not alike")
     forms = stored(mixed.groupBy("middle", "context").agg(
@@ -282,12 +288,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     null doc_id is kept as any other. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("id", F.xxhash64("text"))
+    texts = texts.withColumn("id", F.xxhash64("text")).withColumn("key", F.coalesce("doc_id", F.lit(-1).cast("bigint")))
     long = texts.where(F.octet_length("text") >= LENGTH)
-    spans = repeated_spans(long.where(F.col("doc_id").isNotNull()).unionByName(
-        long.where(F.col("doc_id").isNull()).withColumn("doc_id", F.lit(-1).cast("bigint"))))
-    copies = long.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("whole"))
-    marks = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(long.select("id", F.col("key").alias("doc_id"), "text"))
+    # What to remove is joined to names first, so that copies of one text are split and move as names; texts move once,
+    # each by its own name, and those too short for a repeat not at all.
+    copies = stored(long.groupBy("id").count().where("count > 1").select("id"), "copies")
+    names = long.select("key", "id").distinct()
+    gone = salted_join(copies, names, ["id"], "key").select("key", "id", F.lit(True).alias("whole"))
+    marks = spans.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    notes = stored(gone.unionByName(names.join(marks, "id"), allowMissingColumns=True), "notes")
+    short = texts.where(F.octet_length("text") < LENGTH).select("doc_id", "text")
+    told = long.join(notes, ["key", "id"], "left").select("doc_id", "text", "whole", "spans").unionByName(
+        short, allowMissingColumns=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,5 +316,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(copies, "id", "left").join(marks, "id", "left").mapInArrow(
+    return told.mapInArrow(
         cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -19,12 +19,13 @@ from .shapes import bm25_ctes, corpus, items
 GROUPS = 64
 
 
-def _array_files(rows: DataFrame, key: str, element: Column, path: str) -> None:
-    """Files that hold one JSON array each, elements in the order of ``key``."""
-    put = rows.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("g"), F.struct(key, F.to_json(element).alias("e")).alias("s"))
+def _array_files(rows: DataFrame, key: str, element: Column, path: str, to_json: bool = True) -> None:
+    """Files that hold one JSON array each, elements (values, or texts as they are) in the order of ``key``."""
+    element = F.to_json(element) if to_json else element
+    put = rows.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("g"), F.struct(key, element.alias("e")).alias("s"))
     text = put.groupBy("g").agg(F.sort_array(F.collect_list("s")).alias("l")).select(
         F.concat(F.lit("["), F.array_join(F.transform("l", lambda s: s["e"]), ","), F.lit("]")).alias("value"))
-    # One array a file, since a reader takes a file for one value.
+    # One array a file.
     text.write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -121,6 +122,22 @@ def dataset_types(t: Tables) -> DataFrame:
     return ds.load_positional_sessions(t.spark, path).types()
 
 
+@query("unreadable_elements", """SELECT 'q' || conv_id AS question_id, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE count(*) END AS n_turns,
+  CASE WHEN conv_id % 3 = 0 THEN '{"question_id":"q' || conv_id || '","question":oops}' END AS unreadable FROM conversations GROUP BY conv_id""")
+def unreadable_elements(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "unreadable")
+    name = F.concat(F.lit("q"), F.col("conv_id").cast("string"))
+    good = F.to_json(F.struct(name.alias("question_id"), F.transform("sessions", lambda s: F.transform(
+        s["m"], lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))).alias("haystack_sessions")))
+    bad = F.concat(F.lit('{"question_id":"'), name, F.lit('","question":oops}'))
+    _array_files(_talks(t), "conv_id", F.when(F.col("conv_id") % 3 == 0, bad).otherwise(good), path, False)
+    data = ds.load_positional_sessions(t.spark, path)
+    turns = data.messages.join(data.question_sessions, "session_id").groupBy("question_id").agg(F.count("*").alias("n_turns"))
+    told = F.regexp_extract("value", r'"question_id":"(q\d+)"', 1).alias("question_id")
+    return turns.withColumn("unreadable", F.lit(None).cast("string")).unionByName(
+        data.unreadable.select(told, F.lit(0).cast("bigint").alias("n_turns"), F.col("value").alias("unreadable")))
+
+
 @query("run_files", """SELECT 'r' || user_id AS run_id, 'q' || event_id AS question_id, event_type AS phase,
 CASE WHEN value < 20 THEN 'failed' ELSE 'completed' END AS status, event_id AS duration_ms FROM events""")
 def run_files(t: Tables) -> DataFrame:

@@ -1,7 +1,7 @@
 """Conversation benchmark files to flat tables.
 
-Every loader returns the same four tables. Ordinals come from the data, so they do not depend on
-how the files were split.
+Every loader returns the same four tables, and the elements that could not be read. Files are cut into elements by several
+tasks (``elements.py``). Ordinals come from the data, so they do not depend on how the files were split.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_clock_date, parse_slash_date
+from .elements import json_elements, parsed
 
 # Question type per category number.
 CATEGORY_TYPES = {
@@ -26,12 +27,14 @@ CATEGORY_TYPES = {
 @dataclass(frozen=True)
 class Dataset:
     """``messages`` (session_id, turn, role, text, speaker), ``sessions`` (session_id, date,
-    formatted_date), ``questions`` and the bridge ``question_sessions``."""
+    formatted_date), ``questions``, the bridge ``question_sessions``, and ``unreadable`` (file, ord,
+    value): elements that do not fit the layout, and files that end early (null ord and value)."""
 
     messages: DataFrame
     sessions: DataFrame
     questions: DataFrame
     question_sessions: DataFrame
+    unreadable: DataFrame
 
     def types(self) -> DataFrame:
         """Question types that occur."""
@@ -68,11 +71,9 @@ def load_positional_sessions(spark: SparkSession, path: str) -> Dataset:
     The schema leaves out the answer marks some messages carry, so they are never read. Questions
     are positioned by file name, then id.
     """
-    raw = (
-        spark.read.schema(_POSITIONAL).option("multiLine", True).json(path)
-        .select("*", F.col("_metadata.file_name").alias("_file"))
-        .where(F.coalesce(F.col("question_id"), F.lit("")) != "")
-    )
+    read, unreadable = parsed(json_elements(spark, path), _POSITIONAL)
+    raw = read.withColumn("_file", F.substring_index("file", "/", -1)).where(
+        F.coalesce(F.col("question_id"), F.lit("")) != "")
     each = raw.select("question_id", "haystack_dates", F.posexplode("haystack_sessions").alias("ord", "_messages"))
     session_id = F.concat("question_id", F.lit("-session-"), F.col("ord").cast("string"))
     date = parse_slash_date(F.get("haystack_dates", F.col("ord")))
@@ -91,6 +92,7 @@ def load_positional_sessions(spark: SparkSession, path: str) -> Dataset:
         numbered.select("session_id", date["iso"].alias("date"), date["formatted"].alias("formatted_date")),
         questions,
         numbered.select("question_id", "session_id", "ord"),
+        unreadable,
     )
 
 
@@ -107,7 +109,7 @@ def load_keyed_sessions(spark: SparkSession, path: str) -> Dataset:
     A session that is not a list is skipped without ending the sequence. All questions of a sample
     share its sessions.
     """
-    raw = spark.read.schema(_KEYED).option("multiLine", True).json(path)
+    raw, unreadable = parsed(json_elements(spark, path), _KEYED)
     # Entries, not the whole map, go on with each session.
     entries = raw.select("sample_id", F.element_at("conversation", "speaker_a").alias("speaker_a"),
                          F.element_at("conversation", "speaker_b").alias("speaker_b"),
@@ -142,27 +144,26 @@ def load_keyed_sessions(spark: SparkSession, path: str) -> Dataset:
         questions,
         qa.select("sample_id", question_id.alias("question_id")).join(
             numbered.select("sample_id", "session_id", F.col("n").alias("ord")), "sample_id").drop("sample_id"),
+        unreadable,
     )
 
 
 _EVIDENCE = (
-    "array<struct<category:string,item:struct<question:string,answer:string,"
-    "message_evidences:array<struct<speaker:string,text:string>>,"
-    "conversations:array<struct<messages:array<struct<speaker:string,text:string>>>>>>>"
+    "category STRING, item STRUCT<question: STRING, answer: STRING, "
+    "message_evidences: ARRAY<STRUCT<speaker: STRING, text: STRING>>, "
+    "conversations: ARRAY<STRUCT<messages: ARRAY<STRUCT<speaker: STRING, text: STRING>>>>>"
 )
 
 
 def load_evidence_items(spark: SparkSession, path: str, prefix: str = "convomem") -> Dataset:
     """Files holding one list of evidence items; ids carry the item's place in the list, and the
     file's name where one folder holds several files."""
-    whole = spark.read.text(path, wholetext=True)
-    several = len(whole.inputFiles()) > 1
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
-    items = whole.select(F.concat(name, F.lit("-")).alias("_file"), F.from_json("value", _EVIDENCE).alias("_list")).select(
-        "_file", F.posexplode("_list").alias("i", "_e"))
-    question_id = F.concat(F.lit(f"{prefix}-"), F.col("_file") if several else F.lit(""), F.col("_e.category"), F.lit("-"),
-                           F.col("i").cast("string"))
-    items = items.select("i", question_id.alias("question_id"), "_e.category", "_e.item")
+    elements = json_elements(spark, path)
+    several = len(spark.read.text(path).inputFiles()) > 1
+    read, unreadable = parsed(elements, _EVIDENCE)
+    name = F.concat(F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1), F.lit("-")) if several else F.lit("")
+    question_id = F.concat(F.lit(f"{prefix}-"), name, F.col("category"), F.lit("-"), F.col("ord").cast("string"))
+    items = read.select(F.col("ord").cast("int").alias("i"), question_id.alias("question_id"), "category", "item")
     talks = items.select("question_id", F.posexplode("item.conversations").alias("ord", "_c"))
     talks = talks.withColumn("session_id", F.concat("question_id", F.lit("-session-"), F.col("ord").cast("string")))
     return Dataset(
@@ -175,6 +176,7 @@ def load_evidence_items(spark: SparkSession, path: str, prefix: str = "convomem"
                      F.col("item.answer").alias("ground_truth"), F.col("item.message_evidences").alias("evidence"),
                      F.col("i").alias("pos")),
         talks.select("question_id", "session_id", "ord"),
+        unreadable,
     )
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens
 from ..plans.scratch import cut_lineage
-from ..plans.skew import BROADCAST_ROWS, fits, measured_join, top_k
+from ..plans.skew import fits, measured_join, salted_join, top_k
 from .index import term_counts
 
+# So many (term, word) entries of eight bytes may be copied to every task.
+SENT_ENTRIES = 4_000_000
+
 
 def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.select(
@@ -18,38 +23,84 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     ).groupBy("query_id", "container", "n_terms", "term").agg(F.count("*").alias("qtf"))
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Stored tables of one collection; ``container`` is the first key of each.
+
+    ``ids`` (container, doc_id), ``words`` (container, word, doc_id, tf) and ``grams`` (container, gram, word): the two- and
+    three-letter pieces of each distinct word.
+    """
+
+    ids: DataFrame
+    words: DataFrame
+    grams: DataFrame
+
+
+def _pieces(word: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` letters; one walk over the word, however long it is."""
+    return F.array_distinct(F.regexp_extract_all(word, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def build_keyword_index(docs: DataFrame) -> KeywordIndex:
+    """Index of ``docs`` (container, doc_id, text); texts are read once. Empty and null texts have an id and no words."""
+    words = cut_lineage(term_counts(docs, "doc_id", "text", plain_tokens).select(
+        "container", F.col("term").alias("word"), "doc_id", "tf"))
+    grams = words.select("container", "word").distinct().select("container", "word", F.explode(F.concat(
+        _pieces(F.col("word"), 2), _pieces(F.col("word"), 3))).alias("gram"))
+    return KeywordIndex(docs.select("container", "doc_id"), words, cut_lineage(grams))
+
+
+def _term_words(distinct_terms: DataFrame, index: KeywordIndex, fit: bool) -> DataFrame:
+    """``(container, term, word, uses)`` for the words that hold a term.
+
+    Such a word holds each piece of the term, so only the words of the term's rarest piece are looked into.
+    """
+    size = F.least(F.length("term"), F.lit(3))
+    pieces = distinct_terms.select("container", "term", F.explode(
+        F.when(size == 2, _pieces(F.col("term"), 2)).otherwise(_pieces(F.col("term"), 3))).alias("gram"))
+    asked = pieces.select("container", "gram").distinct()
+    spread = index.grams.join(F.broadcast(asked) if fit else asked, ["container", "gram"], "left_semi")
+    counted = pieces.join(spread.groupBy("container", "gram").agg(F.count("*").alias("n")), ["container", "gram"], "left")
+    rarest = counted.groupBy("container", "term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_r")).where("_r.n > 0").select(
+        "container", "term", F.col("_r.gram").alias("gram"))
+    # Non-overlapping uses of the term inside the word.
+    uses = (F.length("word") - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term")
+    return measured_join(rarest, index.grams, ["container", "gram"], "word", fit).where(
+        F.contains("word", "term")).select("container", "term", "word", uses.cast("bigint").alias("uses"))
+
+
+def keyword_scores(queries: DataFrame, index: KeywordIndex) -> DataFrame:
     """``(query_id, container, doc_id, score, match_count)`` for documents with a match.
 
     A query term matches as a substring. Terms are alphanumeric, so a match lies inside one
     alphanumeric run of the text: terms are matched against the container's distinct words, and
-    only words that hold a term reach the documents. Word fragments are cut at the term lengths
-    that occur, which makes the substring test an equi-join.
+    only words that hold a term reach the documents.
     """
     terms = _query_terms(queries)
     fit = fits(terms)
-    words = term_counts(docs, "doc_id", "text", plain_tokens).withColumnRenamed("term", "word").drop("dl")
-    distinct_terms = terms.select("container", "term").distinct()
-    lengths = distinct_terms.select("container", F.length("term").alias("_len")).distinct()
-    vocabulary = words.select("container", "word").distinct()
-    fragments = (
-        vocabulary.join(F.broadcast(lengths) if fit else lengths, "container").where(F.length("word") >= F.col("_len"))
-        .select("container", "word", F.explode_outer(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("word") - F.col("_len") + 1),
-            lambda i: F.substring(F.col("word"), i, F.col("_len"))))).alias("term"))
-    )
-    # Non-overlapping uses of the term inside the word.
-    uses = ((F.length("word") - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term"))
-    term_words = cut_lineage(
-        fragments.join(F.broadcast(distinct_terms) if fit else distinct_terms, ["container", "term"]).select(
-            "container", "term", "word", uses.cast("bigint").alias("uses"))
-    )
-    per_term = (
-        measured_join(term_words, words, ["container", "word"], "doc_id", fits(term_words, 2 * BROADCAST_ROWS))
-        .groupBy("container", "term", "doc_id")
-        .agg(F.sum(F.col("uses") * F.col("tf")).alias("uses"))
-    )
-    found = measured_join(terms, per_term, ["container", "term"], "doc_id", fit)
+    names = terms.select("container", "term").distinct()
+    term_words = cut_lineage(_term_words(names, index, fit))
+    if fit and fits(term_words, SENT_ENTRIES):
+        # At most BROADCAST_ROWS terms are numbered; a word's terms with their uses are one list of whole numbers.
+        numbered = cut_lineage(names.withColumn("_t", F.row_number().over(Window.orderBy("container", "term")).cast("bigint")))
+        lists = term_words.join(F.broadcast(numbered), ["container", "term"]).groupBy("container", "word").agg(
+            F.collect_list(F.shiftleft("_t", 32).bitwiseOR(F.col("uses"))).alias("_terms"))
+        # Dealt by document once: neither sum moves a row again.
+        spread = index.words.repartition("container", "doc_id").join(F.broadcast(lists), ["container", "word"])
+        each = spread.select("container", "doc_id", "tf", F.explode("_terms").alias("_e")).select(
+            "container", "doc_id", F.shiftright("_e", 32).alias("_t"),
+            (F.col("_e").bitwiseAND(F.lit((1 << 32) - 1)) * F.col("tf")).alias("uses"))
+        per_term = each.groupBy("container", "doc_id", "_t").agg(F.sum("uses").alias("uses"))
+        asked = terms.join(F.broadcast(numbered), ["container", "term"]).drop("term")
+        found = per_term.join(F.broadcast(asked), ["container", "_t"])
+    else:
+        per_term = (
+            salted_join(term_words, index.words, ["container", "word"], "doc_id")
+            .groupBy("container", "term", "doc_id")
+            .agg(F.sum(F.col("uses") * F.col("tf")).alias("uses"))
+        )
+        found = measured_join(terms, per_term, ["container", "term"], "doc_id", fit)
     return found.groupBy("query_id", "container", "doc_id", "n_terms").agg(
         F.sum("qtf").alias("match_count"), F.sum(F.col("qtf") * F.col("uses")).alias("uses")
     ).select(
@@ -60,18 +111,20 @@ def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 10, backfill: bool = True) -> DataFrame:
-    """Best ``k`` documents by score, then match count, then id.
+def keyword_search(queries: DataFrame, docs: DataFrame | KeywordIndex, k: int = 10, backfill: bool = True) -> DataFrame:
+    """Best ``k`` documents by score, then match count, then id; of an index, or of texts that are indexed first.
 
     With ``backfill``, queries with fewer than ``k`` matches are filled with unmatched documents in
     id order. The first ``2k`` documents of a container always hold enough of them.
     """
     by = ["query_id", "container"]
     order = [F.col("score").desc(), F.col("match_count").desc(), F.col("doc_id")]
-    best = top_k(keyword_scores(queries, docs), by, order, k, spread="doc_id")
+    index = docs if isinstance(docs, KeywordIndex) else build_keyword_index(docs)
+    best = top_k(keyword_scores(queries, index), by, order, k, spread="doc_id")
     if not backfill:
         return best
-    head = top_k(docs.select("container", "doc_id"), ["container"], [F.col("doc_id")], 2 * k, "_n").drop("_n")
+    best = cut_lineage(best)
+    head = top_k(index.ids, ["container"], [F.col("doc_id")], 2 * k, "_n").drop("_n")
     short = (
         queries.select(*by).join(best.groupBy(*by).agg(F.count("*").alias("_have")), by, "left")
         .where(F.coalesce("_have", F.lit(0)) < k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .index import Index, index_chunks
-from .keyword import keyword_search
+from .keyword import build_keyword_index, keyword_search
 from .search import bm25_top_k, hybrid_search
 
 
@@ -44,13 +44,15 @@ class Bm25Retriever(_Indexed):
         return bm25_top_k(queries, self.table, k).withColumn("score", F.col("bm25"))
 
 
-class KeywordRetriever(_Indexed):
+class KeywordRetriever:
     """Term coverage with back-fill."""
 
+    def index(self, chunks: DataFrame) -> None:
+        self.table = build_keyword_index(chunks.select(
+            "container", F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        docs = self.table.chunks.select(
-            "container", F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
-        return keyword_search(queries, docs, k).withColumnRenamed("doc_id", "chunk_id")
+        return keyword_search(queries, self.table, k).withColumnRenamed("doc_id", "chunk_id")
 
 
 RETRIEVERS = {

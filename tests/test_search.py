@@ -231,3 +231,45 @@ def test_blocks_score_few_chunks():
     assert scored < 0.1 * (full > 0).sum()
     assert block.scores(batch.terms, weights, 1e9)[2] == 0
     assert len(block.scores(batch.terms, weights, -np.inf)[0]) == (full > 0).sum()
+
+
+def test_blocks_are_compared_slice_by_slice(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.operators import blocks
+
+    monkeypatch.setattr(blocks, "CHUNK_BLOCK", 16)
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 8)
+    whole, shapes = blocks.cosine_block, []
+
+    def watched(c, q):
+        shapes.append((len(c), len(q)))
+        return whole(c, q)
+
+    monkeypatch.setattr(blocks, "cosine_block", watched)
+    rng = np.random.default_rng(3)
+    # Few different vectors: most places are decided by the ids.
+    vectors = rng.integers(-1, 2, (90, 3)).astype(float).tolist()
+    ids = rng.permutation(90).tolist()
+    asked = rng.integers(-1, 2, (21, 3)).astype(float).tolist()
+    schema = pa.schema([("query_id", pa.int64()), ("container", pa.string()), ("chunk_id", pa.int64()), ("vector", pa.float64()),
+                        ("bm25", pa.float64()), ("score", pa.float64())])
+    pairs = (pa.array([3, 3, 20]), pa.array([5, 80, 41]), np.array([.5, .25, 1.0]))
+    for sparse, w in ((None, 0.0), (pairs, 0.3)):
+        got = pa.concat_tables(blocks._by_slice(pa.array(ids), pa.array(vectors), pa.array(range(21)), pa.array(asked), "all", 4,
+                                                0.7, w, sparse, schema)).to_pylist()
+        assert all(n <= 16 and m <= 8 for n, m in shapes) and len(shapes) == 3 * 6
+        shapes.clear()
+        exact = whole(pa.array(vectors), pa.array(asked))
+        for q in range(21):
+            extra = {5: .5, 80: .25} if q == 3 else {41: 1.0} if q == 20 else {}
+            want = sorted((-round(.7 * exact[row, q] + w * extra.get(i, 0), 6), i) for row, i in enumerate(ids))[:4]
+            mine = sorted((-r["score"], r["chunk_id"]) for r in got if r["query_id"] == q)
+            assert [i for _, i in want] == [i for _, i in mine][:4] and len(mine) == 4
+    first = blocks._top(pa.array(ids[:40]), pa.array(vectors[:40]), pa.array(range(21)), pa.array(asked), "all", 4, 1.0, 0.0, schema=schema)
+    both = blocks._top(pa.array(ids[40:]), pa.array(vectors[40:]), pa.array(range(21)), pa.array(asked), "all", 4, 1.0, 0.0,
+                       schema=schema, found=first)
+    once = blocks._top(pa.array(ids), pa.array(vectors), pa.array(range(21)), pa.array(asked), "all", 4, 1.0, 0.0, schema=schema)
+    keyed = [("query_id", "ascending"), ("chunk_id", "ascending")]
+    assert both.sort_by(keyed).equals(once.sort_by(keyed))

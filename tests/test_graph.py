@@ -87,6 +87,33 @@ def test_khop(spark, net, caps):
         assert got_e.get(q, []) == want_e
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_khop_stops_where_the_caps_are_reached(spark, hops):
+    rng = random.Random(hops)
+    # Two hubs with many leaves, most of them no nodes, and a sparse net between.
+    names = [f"m{i}" for i in range(30)]
+    edges = [(rng.choice(names), rng.choice("rs"), rng.choice(names), i) for i in range(45)]
+    edges += [("m0" if i % 2 else "m1", "x", f"leaf{i}", 300 - i) for i in range(120)]
+    nodes = names[::2] + [f"leaf{i}" for i in range(0, 120, 7)]
+    edf = spark.createDataFrame([("g", *e) for e in edges], EDGE)
+    ndf = spark.createDataFrame([("g", n, "t", n) for n in nodes], ENT)
+    seeds = {q: rng.sample(names + ["leaf3", "leaf14"], 1 + q % 3) for q in range(12)}
+    sdf = spark.createDataFrame([(q, "g", n, i) for q, ns in seeds.items() for i, n in enumerate(ns)], SEED)
+    for caps in ((2, 3), (6, 9)):
+        got = [{}, {}]
+        for side, rows in enumerate(gr.khop(sdf, edf, ndf, hops, *caps)):
+            for r in rows.orderBy("query_id", "pos").collect():
+                got[side].setdefault(r.query_id, []).append((r.source, r.relation, r.target) if side else r.name)
+        for q, ns in seeds.items():
+            want = brute_khop(ns, edges, nodes, hops, *caps)
+            assert [got[side].get(q, []) for side in (0, 1)] == list(want)
+    for strict in (False, True):
+        counts = {r.query_id: r.n for r in gr.khop_edge_counts(sdf, edf, ndf, hops, strict).collect()}
+        for q, ns in seeds.items():
+            used = [n for n in ns if n in nodes or not strict]
+            assert counts.get(q, 0) == len(brute_khop(used, edges, nodes, hops, 0, 10**9)[1])
+
+
 def test_khop_can_ask_for_seed_nodes(spark, net):
     _, _, edf, ndf = net
     sdf = spark.createDataFrame([(2, "g", "hub", 0)], SEED)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import graph_key, name_keys, trim_space, word_sequence
-from ..plans.skew import first_row, salted_join, top_k
+from ..plans.scratch import cut_lineage
+from ..plans.skew import WINDOW_LIMIT, first_row, fits, salted_join, top_k
 
 # Output and traversal limits.
 MAX_ENTITIES = 10
@@ -122,7 +123,9 @@ def match_mentions(queries: DataFrame, entities: DataFrame, mode: str = "ngram")
             .select("container", "name", F.size("_words").alias("_len"),
                     F.array_join("_words", " ").alias("_gram"))
         )
-        lengths = keys.select("container", "_len").distinct()
+        # Few rows, and a container may hold most queries: its queries stay where they are.
+        lengths = cut_lineage(keys.select("container", "_len").distinct())
+        lengths = F.broadcast(lengths) if fits(lengths) else lengths
         grams = (
             queries.select("query_id", "container", word_sequence(F.col("text")).alias("_words"))
             .join(lengths, "container").where(F.size("_words") >= F.col("_len"))
@@ -164,51 +167,141 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def khop(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
-         cap_nodes: int = MAX_ENTITIES, cap_edges: int = MAX_EDGES,
-         require_seed_node: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Undirected ``hops``-step surroundings of the seeds ``(query_id, container, name, ord)``.
+def _starts(seeds: DataFrame, entities: DataFrame, require_seed_node: bool) -> DataFrame:
+    """``(query_id, container, name, path)`` of the seeds, each once."""
+    if require_seed_node:
+        seeds = seeds.join(entities.select("container", "name"), ["container", "name"], "left_semi")
+    return seeds.groupBy("query_id", "container", "name").agg(F.array(F.min("ord").cast("bigint")).alias("path"))
 
-    Returns (entities, relationships) per query in discovery order, cut at the caps; the traversal
-    itself is not cut. Seeds without a node row still expand unless ``require_seed_node``.
-    Discovery order is the path of arrival numbers from the seed, compared element by element.
+
+def _next(here: DataFrame, over: DataFrame, many: bool) -> DataFrame:
+    """Rows of the frontier at the links of their nodes; ``many`` spreads links of one node that are not few."""
+    at = here.withColumnRenamed("name", "node")
+    by = ["container", "node"]
+    rows = salted_join(at, over, by, "other") if many else at.join(over, by)
+    return rows.withColumn("path", F.concat("path", F.array(F.col("ord").cast("bigint"))))
+
+
+def khop_nodes(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2, cap_nodes: int = MAX_ENTITIES,
+               require_seed_node: bool = False) -> DataFrame:
+    """The entities of ``khop``.
+
+    A query that holds ``cap_nodes`` nodes with a row goes no further, since later hops come after. One that goes on
+    holds fewer, so of a node's links to nodes with a row the first ``2 * cap_nodes`` by arrival show all that are new or
+    as many as are listed. Links to nodes without a row are followed whole, but for the last hop.
     """
     key = ["query_id", "container"]
-    if require_seed_node:
-        seeds = seeds.join(entities.select("container", "name"), ["container", "name"], "left_semi")
-    frontier = seeds.groupBy(*key, "name").agg(F.array(F.min("ord").cast("bigint")).alias("path"))
-    frontier = frontier.withColumn("hop", F.lit(0))
-    links = adjacency(dedup_edges(edges))
-    # An edge is crossed once from each end at most, so a query's first 2 * cap crossings hold its
-    # first cap edges, and no node adds more than its own first 2 * cap. Nodes follow all links.
-    listed = top_k(links, ["container", "node"], [F.col("ord"), F.col("side"), F.col("edge")], 2 * cap_edges, "_n",
-                   spread="other").drop("_n")
-
-    def step(over: DataFrame) -> DataFrame:
-        here = frontier.select(*key, F.col("name").alias("node"), "path")
-        return salted_join(here, over, ["container", "node"], "other").withColumn(
-            "path", F.concat("path", F.array(F.col("ord").cast("bigint"))))
-
-    visited, crossed = frontier, None
+    known = entities.select("container", F.col("name").alias("other")).distinct().withColumn("has", F.lit(True))
+    ends = adjacency(edges).groupBy("container", "node", "other").agg(F.min("ord").alias("ord")).join(
+        known, ["container", "other"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
+    ends = cut_lineage(ends)
+    near = top_k(ends.where("has"), ["container", "node"], [F.col("ord"), F.col("other")], 2 * cap_nodes, "_n",
+                 spread="other").drop("_n")
+    bare = ends.where(~F.col("has"))
+    frontier = _starts(seeds, entities, require_seed_node).join(
+        known.withColumnRenamed("other", "name"), ["container", "name"], "left").select(
+        *key, "name", "path", F.coalesce("has", F.lit(False)).alias("has"), F.lit(0).alias("hop"))
+    frontier = visited = cut_lineage(frontier)
     for hop in range(1, hops + 1):
-        here = step(listed).select(*key, "edge", "path", F.lit(hop).alias("hop"))
-        crossed = here if crossed is None else crossed.unionByName(here)
-        frontier = (
-            step(links).groupBy(*key, F.col("other").alias("name")).agg(F.min("path").alias("path"))
+        done = visited.where("has").groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= cap_nodes)
+        here = frontier.join(done.select(*key), key, "left_anti").select(*key, "name", "path")
+        reached = _next(here, near, 2 * cap_nodes > WINDOW_LIMIT)
+        if hop < hops:
+            reached = reached.unionByName(_next(here, bare, True))
+        frontier = cut_lineage(
+            reached.groupBy(*key, F.col("other").alias("name"), "has").agg(F.min("path").alias("path"))
             .join(visited.select(*key, "name"), [*key, "name"], "left_anti")
-            .withColumn("hop", F.lit(hop))
-        )
+            .select(*key, "name", "path", "has", F.lit(hop).alias("hop")))
         visited = visited.unionByName(frontier)
+    # Cut before the rows are met, too: no query lists more than its first nodes.
     order = [F.col("hop"), F.col("path")]
-    nodes = visited.join(
-        entities.select("container", "name", "type", "summary"), ["container", "name"]
-    )
-    nodes = top_k(nodes, key, order, cap_nodes, "pos").drop("path")
-    crossed = top_k(crossed, key, order, 2 * cap_edges, "_n", spread="edge").drop("_n")
+    first = top_k(visited.where("has").drop("has"), key, [*order, F.col("name")], cap_nodes, "_n", spread="name").drop("_n")
+    nodes = first.join(entities.select("container", "name", "type", "summary"), ["container", "name"])
+    return top_k(nodes, key, order, cap_nodes, "pos").drop("path")
+
+
+def khop_edges(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2, cap_edges: int = MAX_EDGES,
+               require_seed_node: bool = False) -> DataFrame:
+    """The relationships of ``khop``.
+
+    An edge is crossed once from each end at most, so a query's first ``2 * cap_edges`` crossings hold its first
+    ``cap_edges`` edges, no node adds more than its own first ``2 * cap_edges``, and a query that has crossed
+    ``cap_edges`` edges goes no further. One that goes on has crossed all links of its nodes.
+    """
+    key = ["query_id", "container"]
+    most = 2 * cap_edges
+    listed = cut_lineage(top_k(adjacency(dedup_edges(edges)), ["container", "node"],
+                               [F.col("ord"), F.col("side"), F.col("edge")], most, "_n", spread="other"))
+    degree = listed.groupBy("container", F.col("node").alias("name")).agg(F.count("*").alias("_deg"))
+    frontier = visited = cut_lineage(_starts(seeds, entities, require_seed_node))
+    crossed = None
+    per_query = Window.partitionBy(*key)
+    for hop in range(1, hops + 1):
+        # Crossings follow the paths of their nodes: those of nodes after the first ``most`` crossings are not wanted.
+        here = frontier.join(degree, ["container", "name"]).withColumn(
+            "_before", F.sum("_deg").over(per_query.orderBy("path").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            - F.sum("_deg").over(Window.partitionBy(*key, "path"))).where(F.col("_before") < most).drop("_deg")
+        step = _next(here, listed, most > WINDOW_LIMIT).where(F.col("_n") <= most - F.col("_before"))
+        step = cut_lineage(step.select(*key, "edge", "path", "other", F.lit(hop).alias("hop")))
+        crossed = step if crossed is None else crossed.unionByName(step)
+        if hop < hops:
+            done = crossed.select(*key, "edge").distinct().groupBy(*key).agg(F.count("*").alias("_n")).where(
+                F.col("_n") >= cap_edges)
+            frontier = cut_lineage(
+                step.join(done.select(*key), key, "left_anti")
+                .groupBy(*key, F.col("other").alias("name")).agg(F.min("path").alias("path"))
+                .join(visited.select(*key, "name"), [*key, "name"], "left_anti"))
+            visited = visited.unionByName(frontier)
+    order = [F.col("hop"), F.col("path")]
+    crossed = top_k(crossed.drop("other"), key, order, most, "_n", spread="edge").drop("_n")
     once = crossed.groupBy(*key, "edge").agg(F.min(F.struct("hop", "path")).alias("_at"))
     once = once.select(*key, "edge", F.col("_at.hop").alias("hop"), F.col("_at.path").alias("path"))
     rels = top_k(once, key, order, cap_edges, "pos")
-    return nodes, rels.select(*key, "edge.source", "edge.relation", "edge.target", "edge.date", "hop", "pos")
+    return rels.select(*key, "edge.source", "edge.relation", "edge.target", "edge.date", "hop", "pos")
+
+
+def khop(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
+         cap_nodes: int = MAX_ENTITIES, cap_edges: int = MAX_EDGES,
+         require_seed_node: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Undirected ``hops``-step surroundings of the seeds ``(query_id, container, name, ord)``.
+
+    Returns (entities, relationships) per query in discovery order, cut at the caps; the result is that of the whole
+    traversal. Seeds without a node row still expand unless ``require_seed_node``.
+    Discovery order is the path of arrival numbers from the seed, compared element by element.
+    """
+    return (khop_nodes(seeds, edges, entities, hops, cap_nodes, require_seed_node),
+            khop_edges(seeds, edges, entities, hops, cap_edges, require_seed_node))
+
+
+def khop_edge_counts(seeds: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2,
+                     require_seed_node: bool = False) -> DataFrame:
+    """``(query_id, container, n)``: the number of edges that ``khop`` without caps returns.
+
+    These are the edges at the nodes reached before the last hop: the sum of their degrees, less the edges with both ends
+    among them, which it counts twice. The last hop is not taken. Each edge is looked for from its end of lower degree only, so
+    a node with many links is not expanded for that.
+    """
+    key = ["query_id", "container"]
+    links = cut_lineage(adjacency(dedup_edges(edges)).select("container", "node", "other", "ord", "edge"))
+    # A pair joined by several relations is one row with their number.
+    pairs = links.groupBy("container", "node", "other").agg(F.count("*").alias("_links"), F.min("ord").alias("ord"))
+    degree = cut_lineage(links.groupBy("container", F.col("node").alias("name")).agg(F.count("*").alias("_deg")))
+    frontier = visited = cut_lineage(_starts(seeds, entities, require_seed_node))
+    for _ in range(1, hops):
+        frontier = cut_lineage(
+            _next(frontier, pairs, True).groupBy(*key, F.col("other").alias("name")).agg(F.min("path").alias("path"))
+            .join(visited.select(*key, "name"), [*key, "name"], "left_anti"))
+        visited = visited.unionByName(frontier)
+    inside = cut_lineage(visited.select(*key, "name").join(degree, ["container", "name"]))
+    far = degree.select("container", F.col("name").alias("other"), F.col("_deg").alias("_far"))
+    lower = pairs.where("node <> other").join(degree.withColumnRenamed("name", "node"), ["container", "node"]).join(
+        far, ["container", "other"]).where(
+        (F.col("_deg") < F.col("_far")) | ((F.col("_deg") == F.col("_far")) & (F.col("node") < F.col("other"))))
+    twice = inside.select(*key, F.col("name").alias("node")).join(
+        lower.select("container", "node", "other", "_links"), ["container", "node"]).join(
+        inside.select(*key, F.col("name").alias("other")), [*key, "other"])
+    signed = inside.select(*key, F.col("_deg").alias("_c")).unionByName(twice.select(*key, (-F.col("_links")).alias("_c")))
+    return signed.groupBy(*key).agg(F.sum("_c").alias("n"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

@@ -49,6 +49,18 @@ def test_profile_merge(spark):
     assert got == brute_profile(facts, .6)
 
 
+def test_profile_is_merged_without_the_driver(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(12)]
+    facts = [(0, i, i, " ".join(rng.sample(vocab, rng.randint(1, 6)))) for i in range(80)]
+    df = spark.createDataFrame(facts, "user_id int, fact_id int, ord int, fact string")
+    # Words of more than three facts are split.
+    monkeypatch.setattr(fa, "FACTS_A_PART", 3)
+    merged = fa.merge_profile(df)
+    assert sorted(r.fact_id for r in merged.collect()) == brute_profile(facts, .6)
+    assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_session_boost(spark, rows):
     hits = spark.createDataFrame([(1, "c", "a", "s1", .5, 1), (1, "c", "b", "s2", .45, 2)],
                                  "query_id int, container string, chunk_id string, session_id string, score double, rank int")

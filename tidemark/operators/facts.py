@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.parsing import memory_lines
 from ..functions.text import plain_tokens
 from ..plans.scan import carry_last
-from ..plans.skew import first_row, salted_join
+from ..plans.skew import first_row
 from .search import vector_top_k
 
 # Fact layer constants.
 FACT_LIMIT = 30
 SESSION_BOOST = 0.1
 OVERLAP = 0.6
+FACTS_A_PART = 512
 
 
 def as_of(questions: DataFrame, facts: DataFrame, keys: Sequence[str], bucket: str = "day") -> DataFrame:
@@ -79,22 +80,29 @@ def merge_profile(facts: DataFrame, order: str = "ord", overlap: float = OVERLAP
 
     Overlap is shared words over the smaller word set (the measure is our choice). A pair can reach
     the mark only if it shares one of the rarest words of the smaller set (prefix filtering), so
-    facts meet through those words and not all against all.
+    facts meet through those words and not all against all. A word that many facts of a user hold is split by its
+    number of facts. All sides grow with the facts, so they meet by sorting and none is built in the driver.
     """
+    def sorted_side(df: DataFrame) -> DataFrame:
+        return df.hint("merge")
+
     rows = facts.select("user_id", "fact_id", order, F.array_sort(F.array_distinct(plain_tokens(F.col("fact")))).alias("_words"))
     rows = rows.where(F.size("_words") > 0)
     # Of facts with the same words only the latest stays, so copies never meet each other.
     unique = first_row(rows, ["user_id", "_words"], [F.col(order).desc(), F.col("fact_id").desc()])
-    copies = rows.join(unique.select("user_id", "fact_id"), ["user_id", "fact_id"], "left_anti")
+    copies = rows.join(sorted_side(unique.select("user_id", "fact_id")), ["user_id", "fact_id"], "left_anti")
     words = unique.select("user_id", "fact_id", F.size("_words").alias("_n"), F.explode("_words").alias("word"))
     freq = words.groupBy("user_id", "word").agg(F.count("*").alias("_df"))
-    ranked = words.join(freq, ["user_id", "word"]).withColumn(
+    ranked = words.join(sorted_side(freq), ["user_id", "word"]).withColumn(
         "_pos", F.row_number().over(Window.partitionBy("user_id", "fact_id").orderBy("_df", "word")))
     need = F.ceil(F.col("_n") * overlap - 1e-9)
+    parts = F.ceil(F.col("_df") / FACTS_A_PART).cast("int")
     a = ranked.where(F.col("_pos") <= F.col("_n") - need + 1).select(
-        "user_id", "word", F.col("fact_id").alias("small"), F.col("_n").alias("sn"))
-    b = ranked.select("user_id", "word", F.col("fact_id").alias("big"), F.col("_n").alias("bn"))
-    pairs = salted_join(a, b, ["user_id", "word"], "big").where(
+        "user_id", "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.col("fact_id").alias("small"),
+        F.col("_n").alias("sn"))
+    b = ranked.select("user_id", "word", F.pmod(F.xxhash64("fact_id"), parts).cast("int").alias("_part"),
+                      F.col("fact_id").alias("big"), F.col("_n").alias("bn"))
+    pairs = sorted_side(a).join(b, ["user_id", "word", "_part"]).where(
         (F.col("sn") <= F.col("bn")) & (F.col("small") != F.col("big"))
     ).select("user_id", "small", "sn", "big").distinct()
 
@@ -103,12 +111,13 @@ def merge_profile(facts: DataFrame, order: str = "ord", overlap: float = OVERLAP
                              F.struct(F.col(order), F.col("fact_id")).alias(f"{tag}at"))
 
     checked = (
-        pairs.join(side("small", "s"), ["user_id", "small"]).join(side("big", "b"), ["user_id", "big"])
+        pairs.join(sorted_side(side("small", "s")), ["user_id", "small"])
+        .join(sorted_side(side("big", "b")), ["user_id", "big"])
         .where(F.size(F.array_intersect("sw", "bw")) >= F.col("sn") * overlap - 1e-9)
     )
     stale = checked.select("user_id", F.when(F.col("sat") < F.col("bat"), F.col("small")).otherwise(F.col("big")).alias("fact_id"))
     stale = stale.unionByName(copies.select("user_id", "fact_id")).distinct()
-    return facts.join(stale, ["user_id", "fact_id"], "left_anti")
+    return facts.join(sorted_side(stale), ["user_id", "fact_id"], "left_anti")
 
 
 # The seven query types a reranker may be told apart by, in order of precedence.

@@ -273,3 +273,21 @@ def test_blocks_are_compared_slice_by_slice(monkeypatch):
     once = blocks._top(pa.array(ids), pa.array(vectors), pa.array(range(21)), pa.array(asked), "all", 4, 1.0, 0.0, schema=schema)
     keyed = [("query_id", "ascending"), ("chunk_id", "ascending")]
     assert both.sort_by(keyed).equals(once.sort_by(keyed))
+
+
+def test_blocks_do_not_deal_rows_by_container(spark):
+    from tidemark.operators.blocks import block_top_k
+
+    queries = spark.createDataFrame([(1, "c", [1.0, 0.0])], "query_id int, container string, embedding array<double>")
+    chunks = spark.createDataFrame([("c", i, [1.0, float(i)]) for i in range(9)], "container string, chunk_id int, embedding array<double>")
+    pairs = spark.createDataFrame([(1, "c", 4, .5)], "query_id int, container string, chunk_id int, bm25 double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = block_top_k(queries, chunks, pairs, 2, .7, .3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        best = sorted((-r.score, r.chunk_id) for r in se._rank(found, 2).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(container" in plan
+    assert not __import__("re").search(r"hashpartitioning\(container#\d+, \d+\)", plan)
+    assert best == [(-.7, 0), (-round(.7 / 2**.5, 6), 1)]

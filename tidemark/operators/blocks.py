@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import cut_lineage
+from ..plans.skew import fits
+
 CHUNK_BLOCK = 8192
 QUERY_BLOCK = 512
 VECTOR_BLOCK = 65536
@@ -248,6 +251,10 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None,
                 .cast("int").alias("_cn"),
                 F.ceil(F.col("_m") / query_block).cast("int").alias("_qn"))
     )
+    # One row a container, counted once. Rows that look their container up stay where they are: dealt by it, a container
+    # with most of them would end in one task.
+    sizes = cut_lineage(sizes)
+    sizes = F.broadcast(sizes) if fits(sizes) else sizes
 
     def spread(column: str, parts: str):
         return F.pmod(F.xxhash64(column), F.col(parts)).cast("int")

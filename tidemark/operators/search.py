@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens
 from ..plans.scratch import cut_lineage
-from ..plans.skew import first_row, top_k
+from ..plans.skew import first_row, fits, top_k
 from .blockmax import bm25_scores
 from .blocks import block_top_k, streamed_top_k
 from .index import Index
@@ -47,8 +47,9 @@ def bm25(queries: DataFrame, index: Index, normalise: bool = True, k1: float = K
         return raw
     # Read twice, for the best score and for the rows: stored once instead of scored twice.
     raw = cut_lineage(raw)
-    best = raw.groupBy("query_id", "container").agg(F.max("bm25_raw").alias("_best"))
-    return raw.join(best, ["query_id", "container"]).withColumn(
+    best = cut_lineage(raw.groupBy("query_id", "container").agg(F.max("bm25_raw").alias("_best")))
+    # One row a query; the scored rows, many more, stay where they are.
+    return raw.join(F.broadcast(best) if fits(best) else best, ["query_id", "container"]).withColumn(
         "bm25", F.coalesce(F.try_divide("bm25_raw", "_best"), F.lit(0.0))
     ).drop("_best")
 

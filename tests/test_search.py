@@ -291,3 +291,23 @@ def test_blocks_do_not_deal_rows_by_container(spark):
     assert "hashpartitioning(container" in plan
     assert not __import__("re").search(r"hashpartitioning\(container#\d+, \d+\)", plan)
     assert best == [(-.7, 0), (-round(.7 / 2**.5, 6), 1)]
+
+
+def test_terms_are_looked_up_in_steps_whatever_the_batch(monkeypatch):
+    """One Arrow batch of many words is worked on piece by piece, and the pieces hold all rows."""
+    from types import SimpleNamespace
+
+    from tidemark.plans.batches import gathered, steps
+
+    monkeypatch.setattr(blockmax, "STEP", 100)
+    names = [[f"w{(r + k) % 50}" for k in range(r % 30)] for r in range(300)] + [[f"w{k}" for k in range(50)] * 5, None]
+    batch = pa.record_batch({"container": pa.array(["c"] * 302), "chunk_id": pa.array(range(302)), "dl": pa.array([len(n or []) for n in names]),
+                             "names": pa.array(names, pa.list_(pa.string())), "uses": pa.array([[1] * len(n or []) for n in names], pa.list_(pa.int64()))})
+    asked = SimpleNamespace(value=blockmax._joined(pa.array(["c", "c"]), pa.array(["w3", "w7"])))
+    out = list(blockmax._keep(asked, ["container", "chunk_id", "dl", "terms", "uses"])(iter([batch, batch.slice(0, 0)])))
+    assert len(out) > 40 and max(b.num_rows for b in out) < 60
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [r["chunk_id"] for r in got] == list(range(302))
+    assert [r["terms"] for r in got] == [[("w3", "w7").index(w) for w in n or [] if w in ("w3", "w7")] for n in names]
+    assert list(steps(np.array([], np.int64), 5)) == [] and list(steps(np.array([9, 1, 1, 9]), 5)) == [(0, 1), (1, 2), (2, 4)]
+    assert [t.num_rows for t in gathered([batch] * 5, 700, 1 << 40)] == [906, 604]

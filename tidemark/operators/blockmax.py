@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.batches import gathered, small_batches, steps
 from ..plans.scratch import cut_lineage
 from .index import Index
 
@@ -35,6 +36,10 @@ from .index import Index
 BLOCK = 1024
 # Query terms of a part, about.
 PART_TERMS = 500_000
+# Terms that are looked up, and scores that are sent on, at a time: what a worker holds, whatever the batch.
+STEP = 200_000
+# Rows and bytes of chunks that are put in blocks together.
+GATHER_ROWS, GATHER_BYTES = 10_000, 16 << 20
 # Scores are rounded to six digits before they are ranked.
 SLACK = 2e-6
 
@@ -68,19 +73,11 @@ def _joined(container: pa.Array, term: pa.Array) -> pa.Array:
                                        pa.scalar("\x00", pa.large_string()))
 
 
-def asked_terms(index: Index, container: pa.Array, term: pa.Array) -> DataFrame:
-    """(container, chunk_id, dl, terms, uses) of every chunk: places of its terms in the given list, and their counts."""
-    if index.forward is None:
-        wanted = index.postings.sparkSession.createDataFrame(pa.table({"container": container, "term": term}))
-        postings = index.postings.join(F.broadcast(wanted), ["container", "term"], "left_semi")
-        index = Index(index.chunks, postings, index.stats)
-    rows = _chunks_terms(index)
-    shared = rows.sparkSession.sparkContext.broadcast(_joined(container, term))
-    schema = T.StructType([rows.schema["container"], rows.schema["chunk_id"], T.StructField("dl", T.LongType()),
-                           T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("uses", T.ArrayType(T.LongType()))])
-
+def _keep(shared, columns: list[str]):
+    """Of each row the places and counts of the asked terms; about ``STEP`` terms are looked up at a time."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(start, stop - start) for b in batches for start, stop in steps(
+                pc.fill_null(pc.list_value_length(b.column("names")), 0).to_numpy().astype(np.int64), STEP)):
             names, uses = batch.column("names"), batch.column("uses")
             empty = pa.array([], names.type.value_type)
             sizes = pc.fill_null(pc.list_value_length(names), 0).to_numpy().astype(np.int64)
@@ -94,9 +91,24 @@ def asked_terms(index: Index, container: pa.Array, term: pa.Array) -> DataFrame:
                 [batch.column("container"), batch.column("chunk_id"), pc.fill_null(batch.column("dl").cast(pa.int64()), 0),
                  pa.ListArray.from_arrays(edges, at.filter(mask).cast(pa.int32())),
                  pa.ListArray.from_arrays(edges, (uses.flatten() if len(own) else pa.array([], pa.int64())).cast(pa.int64()).filter(mask))],
-                names=schema.names)
+                names=columns)
+
+    return keep
+
 
-    return rows.mapInArrow(keep, schema)
+def asked_terms(index: Index, container: pa.Array, term: pa.Array) -> DataFrame:
+    """(container, chunk_id, dl, terms, uses) of every chunk: places of its terms in the given list, and their counts."""
+    if index.forward is None:
+        wanted = index.postings.sparkSession.createDataFrame(pa.table({"container": container, "term": term}))
+        postings = index.postings.join(F.broadcast(wanted), ["container", "term"], "left_semi")
+        index = Index(index.chunks, postings, index.stats)
+    rows = _chunks_terms(index)
+    shared = rows.sparkSession.sparkContext.broadcast(_joined(container, term))
+    schema = T.StructType([rows.schema["container"], rows.schema["chunk_id"], T.StructField("dl", T.LongType()),
+                           T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("uses", T.ArrayType(T.LongType()))])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(_keep(shared, schema.names), schema)
 
 
 def gains(uses: np.ndarray, dl: np.ndarray, avgdl: float, k1: float, b: float) -> np.ndarray:
@@ -149,10 +161,9 @@ class Block:
         return reached, total[reached], len(found)
 
 
-def _blocks(batch: pa.RecordBatch, containers: set[str]) -> Iterator[pa.RecordBatch]:
+def _blocks(table: pa.Table, containers: set[str]) -> Iterator[pa.RecordBatch]:
     """Rows of one container and of similar lengths, in order of their ids; other containers are left out."""
-    table = pa.Table.from_batches([batch]).filter(pc.is_in(batch.column("container"), pa.array(sorted(containers), pa.string())))
-    order = table.sort_by([("container", "ascending"), ("dl", "ascending")])
+    order = table.filter(pc.is_in(table.column("container"), pa.array(sorted(containers), pa.string()))).sort_by([("container", "ascending"), ("dl", "ascending")])
     names = order.column("container").to_pylist()
     start = 0
     for stop in range(1, len(names) + 1):
@@ -170,10 +181,18 @@ def _score(shared, k: int | None):
         asking: dict[str, list[int]] = {}
         for q, name in enumerate(batch.container):
             asking.setdefault(name, []).append(q)
-        for rows in batches:
+
+        def told(part: pa.RecordBatch, who: list, where: list, score: list) -> pa.RecordBatch:
+            who, where = pa.array(np.concatenate(who)), pa.array(np.concatenate(where))
+            return pa.RecordBatch.from_arrays(
+                [batch.query_id.take(who), part.column("container").take(pa.array(np.zeros(len(who), np.int64))),
+                 part.column("chunk_id").take(where), pa.array(np.concatenate(score))],
+                names=["query_id", "container", "chunk_id", "bm25_raw"])
+
+        for rows in gathered(batches, GATHER_ROWS, GATHER_BYTES):
             for part in _blocks(rows, asking.keys()):
                 block = Block(part, batch)
-                who, where, score = [], [], []
+                who, where, score, held = [], [], [], 0
                 for q in asking[part.column("container")[0].as_py()]:
                     own = slice(batch.edges[q], batch.edges[q + 1])
                     place, value, _ = block.scores(batch.terms[own], batch.weights[own], least[q])
@@ -188,11 +207,12 @@ def _score(shared, k: int | None):
                     who.append(np.full(len(place), q))
                     where.append(place)
                     score.append(value)
-                who, where = pa.array(np.concatenate(who)), pa.array(np.concatenate(where))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.query_id.take(who), part.column("container").take(pa.array(np.zeros(len(who), np.int64))),
-                     part.column("chunk_id").take(where), pa.array(np.concatenate(score))],
-                    names=["query_id", "container", "chunk_id", "bm25_raw"])
+                    held += len(place)
+                    if held >= STEP:
+                        yield told(part, who, where, score)
+                        who, where, score, held = [], [], [], 0
+                if who:
+                    yield told(part, who, where, score)
 
     return run
 

@@ -1,6 +1,7 @@
 import datetime as dtm
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import index as ix
@@ -234,3 +235,20 @@ def test_a_streamed_table_may_be_a_file_or_a_folder(spark, tmp_path):
         _stream(Tables(spark, str(tmp_path / folder)), "rows").writeStream.format("parquet").option("path", out).option(
             "checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
         assert spark.read.parquet(out).count() == want
+
+
+@pytest.mark.parametrize("slots", [1, 3])
+def test_progress_states_grow_with_runs_not_questions(spark, tmp_path, slots):
+    schema = "run_id string, question_id bigint, phase string, status string, at bigint"
+    for k, status in enumerate(["running", "failed", "failed"]):
+        spark.createDataFrame([(f"r{q % 2}", q, "a", status if q % 5 else "running", k) for q in range(40)], schema).coalesce(1).write.parquet(
+            f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    job = feeds.state_changes(stream, slots=slots).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    job.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
+    assert held and max(held) <= 2 * slots
+    changes = spark.read.parquet(f"{tmp_path}/out")
+    assert {(r.run_id, r.status): r.n for r in feeds.progress_totals(changes).collect()} == {
+        (r, s): n for r in ("r0", "r1") for s, n in (("failed", 16), ("running", 4))}

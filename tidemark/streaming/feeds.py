@@ -66,33 +66,41 @@ def live_progress(stream: DataFrame, run: str = "run_id", phase: str = "phase",
 
 
 def state_changes(stream: DataFrame, run: str = "run_id", question: str = "question_id", phase: str = "phase",
-                  status: str = "status", at: str = "at") -> DataFrame:
+                  status: str = "status", at: str = "at", slots: int = 1) -> DataFrame:
     """(run, phase, status, change): +1 where a question enters a status, -1 where it leaves one.
 
-    The state of a (run, question) is the last status of each of its phases, by ``at`` (a number), of equal ones by the
-    greater name. Repeated and late rows change nothing, and a batch that sees several updates emits only their outcome,
-    so sums over any batches are the counts of the last state (``progress_totals``). Rows without run, question, phase,
-    status or ``at`` count nowhere.
+    The last status of each phase of a question counts, by ``at`` (a number), of equal ones by the greater name. Repeated and
+    late rows change nothing, and a batch that sees several updates emits only their outcome, so sums over any batches are
+    the counts of the last state (``progress_totals``). Rows without run, question, phase, status or ``at`` count nowhere.
+
+    One state holds all questions of a run: a state of its own for each question costs milliseconds a question. Runs of very
+    many questions can be dealt over ``slots`` states each; a checkpoint keeps the number it began with.
     """
     rows = stream.select(run, question, phase, status, F.col(at).cast("bigint").alias(at)).na.drop()
+    rows = rows.withColumn("_slot", F.pmod(F.xxhash64(question), F.lit(slots)))
     schema = T.StructType([rows.schema[run], rows.schema[phase], T.StructField("status", T.StringType()),
                            T.StructField("change", T.LongType())])
-    kept = T.StructType([T.StructField("phases", T.ArrayType(rows.schema[phase].dataType)),
+    kept = T.StructType([T.StructField("questions", T.ArrayType(rows.schema[question].dataType)),
+                         T.StructField("phases", T.ArrayType(rows.schema[phase].dataType)),
                          T.StructField("ats", T.ArrayType(T.LongType())),
                          T.StructField("statuses", T.ArrayType(T.StringType()))])
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = {p: (a, s) for p, a, s in zip(*state.get, strict=True)} if state.exists else {}
-        now = dict(before)
+        now = {(q, p): (a, s) for q, p, a, s in zip(*state.get, strict=True)} if state.exists else {}
+        before: dict[tuple, str | None] = {}
         for batch in batches:
-            for p, s, a in zip(batch[phase].tolist(), batch[status].tolist(), batch[at].tolist(), strict=True):
-                now[p] = max(now.get(p, (a, s)), (a, s))
-        state.update((list(now), [a for a, _ in now.values()], [s for _, s in now.values()]))
-        moved = [(p, before.get(p, (0, None))[1], s) for p, (_, s) in now.items() if before.get(p, (0, None))[1] != s]
+            for q, p, s, a in zip(*(batch[c].tolist() for c in (question, phase, status, at)), strict=True):
+                last = now.get((q, p))
+                if last is None or (a, s) > last:
+                    before.setdefault((q, p), last and last[1])
+                    now[q, p] = (a, s)
+        if before:
+            state.update(([q for q, _ in now], [p for _, p in now], [a for a, _ in now.values()], [s for _, s in now.values()]))
+        moved = [(p, old, now[q, p][1]) for (q, p), old in before.items() if old != now[q, p][1]]
         out = [(key[0], p, old, -1) for p, old, _ in moved if old is not None] + [(key[0], p, new, 1) for p, _, new in moved]
         yield pd.DataFrame(out, columns=schema.names)
 
-    return rows.groupBy(run, question).applyInPandasWithState(follow, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(run, "_slot").applyInPandasWithState(follow, schema, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def progress_totals(changes: DataFrame, run: str = "run_id", phase: str = "phase") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import index as ix
 from tidemark.operators import search as se
@@ -146,3 +147,31 @@ def test_merged_parts_without_rows_still_take_back(spark, rows, tmp_path):
     got = kept.read_kept(spark, path)
     assert rows(got.chunks) == sorted(("a", n, "fig pear" if int(n) < 10 else "apple") for n in everything)
     same_index(spark, rows, got)
+
+
+def test_a_batch_counts_its_texts_once_and_moves_no_terms(spark, tmp_path, monkeypatch):
+    """Terms are counted after the rows are laid out, and the statistics come from the rows as written."""
+    plain, touched = kept.term_runs, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(kept, "term_runs", lambda tokens: plain(F.split(F.udf(
+        lambda t: (touched.add(1), " ".join(t or []))[1], "string").asNondeterministic()(tokens), " ")))
+    path = str(tmp_path / "kept")
+    kept.create_kept(spark, path, "container STRING, chunk_id BIGINT, content STRING")
+    batch = spark.createDataFrame([("c", i, f"alpha w{i} beta") for i in range(50)], "container string, chunk_id bigint, content string")
+    kept.add_batch(spark, path, batch, "w", 0)
+    assert touched.value == 50
+    assert kept.read_kept(spark, path).stats.first().total_len == 150
+
+
+def test_many_replaced_keys_are_sent_in_turns(spark, tmp_path, monkeypatch, rows):
+    path = str(tmp_path / "kept")
+    kept.create_kept(spark, path, "container STRING, chunk_id BIGINT, content STRING")
+    schema = "container string, chunk_id bigint, content string, version int"
+    kept.add_batch(spark, path, spark.createDataFrame([("c", i, f"old w{i}", 1) for i in range(60)], schema))
+    kept.add_batch(spark, path, spark.createDataFrame([("c", i, f"new w{i}", 2) for i in range(40)], schema))
+    want = sorted([("c", i, f"new w{i}") for i in range(40)] + [("c", i, f"old w{i}") for i in range(40, 60)], key=repr)
+    for most, turns in ((500_000, 1), (10, 4), (4, 10)):
+        monkeypatch.setattr(kept, "BROADCAST_ROWS", most)
+        chunks = kept.read_kept(spark, path).chunks
+        plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LeftAnti") == (turns if turns <= kept.SENT_TURNS else 1)
+        assert rows(chunks) == want

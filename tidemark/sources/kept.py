@@ -13,6 +13,7 @@ import hashlib
 import math
 import uuid
 from collections import defaultdict
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -25,6 +26,8 @@ from ..plans.scratch import cut_lineage
 from ..plans.skew import BROADCAST_ROWS, first_row, fits
 
 KEY = ["container", "chunk_id"]
+# Replaced keys are sent to the rows in at most so many broadcasts.
+SENT_TURNS = 8
 _STATE = ("columns STRING, parts ARRAY<STRUCT<name: STRING, n: BIGINT, gone: BIGINT, low: STRING, high: STRING>>, "
           "batches MAP<STRING, BIGINT>")
 _COUNTED = "version BIGINT, deleted BOOLEAN, dl INT, terms ARRAY<STRUCT<term: STRING, tf: BIGINT, dl: INT>>, part STRING"
@@ -49,9 +52,8 @@ def create_kept(spark: SparkSession, path: str, columns: str = "container STRING
 def kept_state(spark: SparkSession, path: str) -> State:
     """The newest state."""
     states = spark.read.schema(f"{_STATE}, state BIGINT").parquet(f"{path}/states")
-    number = states.agg(F.max("state")).first()[0]
-    row = states.where(F.col("state") == number).first()
-    return State(number, row.columns, row.parts, row.batches)
+    row = states.orderBy(F.col("state").desc()).first()
+    return State(row.state, row.columns, row.parts, row.batches)
 
 
 def _commit(spark: SparkSession, path: str, state: State) -> None:
@@ -77,8 +79,14 @@ def _standing(spark: SparkSession, path: str, state: State, parts: list[Row]) ->
     gone = _gone(spark, path, state)
     if gone is None:
         return rows
-    few = sum(p.gone for p in state.parts) <= BROADCAST_ROWS
-    return rows.join(F.broadcast(gone) if few else gone, [*KEY, "part"], "left_anti")
+    turns = max(1, -(-sum(p.gone for p in state.parts) // BROADCAST_ROWS))
+    if turns > SENT_TURNS:
+        return rows.join(gone, [*KEY, "part"], "left_anti")
+    # The rows hold texts and terms and stay where they are.
+    for turn in range(turns):
+        own = gone.where(F.pmod(F.xxhash64(*KEY), F.lit(turns)) == turn) if turns > 1 else gone
+        rows = rows.join(F.broadcast(own), [*KEY, "part"], "left_anti")
+    return rows
 
 
 def _sums(rows: DataFrame, sign: int) -> DataFrame:
@@ -86,10 +94,21 @@ def _sums(rows: DataFrame, sign: int) -> DataFrame:
         "container", F.lit(sign).cast("bigint").alias("n_docs"), (F.col("dl") * sign).cast("bigint").alias("total_len"))
 
 
-def _write_part(spark: SparkSession, path: str, name: str, rows: DataFrame, gone: DataFrame, change: DataFrame) -> Row:
+def _counted(rows: DataFrame) -> DataFrame:
+    runs = term_runs(bm25_tokens(F.when(~F.col("deleted"), F.col("content"))))
+    return rows.withColumn("terms", runs).withColumn("dl", F.coalesce(F.get("terms.dl", F.lit(0)), F.lit(0)))
+
+
+def _write_part(spark: SparkSession, path: str, name: str, columns: Sequence[str], rows: DataFrame, gone: DataFrame,
+                change: Callable[[DataFrame], DataFrame]) -> Row:
+    """``rows`` with or without their terms; ``change`` is told the written ones."""
     at = f"{path}/parts/{name}"
-    rows.withColumn("part", F.lit(name)).repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(f"{at}/rows")
+    laid = rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    # Counted where they come to lie: once, and neither the ranges' sample nor the shuffle holds terms.
+    laid = laid if "terms" in rows.columns else _counted(laid)
+    laid.select(*columns, "version", "deleted", "dl", "terms", F.lit(name).alias("part")).write.parquet(f"{at}/rows")
     gone.write.parquet(f"{at}/gone")
+    change = change(spark.read.schema("container STRING, deleted BOOLEAN, dl INT").parquet(f"{at}/rows"))
     total = change.groupBy("container").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
     total.where("n_docs <> 0 OR total_len <> 0").write.parquet(f"{at}/change")
     size = spark.read.schema(rows.select("container").schema).parquet(f"{at}/rows").agg(
@@ -135,17 +154,18 @@ def add_batch(spark: SparkSession, path: str, batch: DataFrame, writer: str = ""
             met = cut_lineage(old.join(F.broadcast(names) if fits(names) else names, KEY))
             stale = met.where(F.col("version") > F.col("_version")).select(*KEY)
             replaced = met.where(F.col("version") <= F.col("_version"))
-        if stale is not None:
-            fresh = fresh.join(stale, KEY, "left_anti")
-        runs = term_runs(bm25_tokens(F.when(~F.col("deleted"), F.col("content"))))
-        counted = fresh.withColumn("terms", runs).withColumn("dl", F.coalesce(F.get("terms.dl", F.lit(0)), F.lit(0)))
-        counted = counted.select(*wanted.names, "version", "deleted", "dl", "terms")
-        change = _sums(counted, 1)
+        n_stale = stale.count() if stale is not None else 0
+        if n_stale:
+            fresh = fresh.join(F.broadcast(stale) if n_stale <= BROADCAST_ROWS else stale, KEY, "left_anti")
         if replaced is None:
             gone = spark.createDataFrame([], _key_schema(state.columns, spark))
         else:
-            gone, change = replaced.select(*KEY, "part"), change.unionByName(_sums(replaced, -1))
-        part = _write_part(spark, path, uuid.uuid4().hex, counted, gone, change)
+            gone = replaced.select(*KEY, "part")
+
+        def change(written: DataFrame) -> DataFrame:
+            return _sums(written, 1) if replaced is None else _sums(written, 1).unionByName(_sums(replaced, -1))
+
+        part = _write_part(spark, path, uuid.uuid4().hex, wanted.names, fresh, gone, change)
         # All rows may have been stale.
         parts = [*parts, part] if part.n else parts
     batches = state.batches if batch_id is None else {**state.batches, writer: batch_id}
@@ -172,7 +192,7 @@ def merge_parts(spark: SparkSession, path: str, width: int = 8) -> bool:
     if gone is None:
         gone = spark.createDataFrame([], _key_schema(state.columns, spark))
     change = spark.read.schema(_CHANGE).parquet(*(f"{path}/parts/{n}/change" for n in names))
-    part = _write_part(spark, path, uuid.uuid4().hex, rows, gone.where(~F.col("part").isin(names)), change)
+    part = _write_part(spark, path, uuid.uuid4().hex, wanted, rows, gone.where(~F.col("part").isin(names)), lambda _: change)
     rest = [p for p in state.parts if p.name not in names]
     # Even where every row has been replaced since, what the parts took back and changed still holds.
     _commit(spark, path, State(state.number + 1, state.columns, [*rest, part], state.batches))

@@ -143,3 +143,19 @@ def test_search_records_keep_empty_questions(spark):
     hits = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "query_id int, rank int, chunk_id string")
     got = {r.query_id: [x.chunk_id for x in r.results] for r in tb.search_records(q, hits, ["chunk_id"]).collect()}
     assert got == {1: ["a", "b"], 2: []}
+
+
+def test_run_files_hold_many_runs(spark, tmp_path, monkeypatch):
+    """Files are a fraction of the runs, and each run's phases are read from them."""
+    from tidemark.catalog import files
+    from tidemark.catalog.base import Tables
+
+    (tmp_path / "in").mkdir()
+    spark.range(2000).selectExpr("id AS event_id", "id % 200 AS user_id", "'view' AS event_type", "id % 40 * 1.0D AS value").write.parquet(
+        f"{tmp_path}/in/events.parquet")
+    spark.range(2).write.parquet(f"{tmp_path}/in/region.parquet")
+    monkeypatch.setattr(files, "scratch_path", lambda *a: f"{tmp_path}/runs")
+    got = files.run_files(Tables(spark, f"{tmp_path}/in")).collect()
+    assert len(list((tmp_path / "runs").glob("part-*"))) <= 200 // 64 + 3
+    assert sorted((r.run_id, r.question_id, r.status, r.duration_ms) for r in got) == sorted(
+        (f"r{i % 200}", f"q{i}", "failed" if i % 40 < 20 else "completed", i) for i in range(2000))

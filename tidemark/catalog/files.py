@@ -17,6 +17,8 @@ from .shapes import bm25_ctes, corpus, items
 
 # Array files hold the elements of one such group; a group is a value, as in the files that are read.
 GROUPS = 64
+# A file of run documents holds those of 2 ** RUN_BITS neighbouring user ids.
+RUN_BITS = 6
 
 
 def _array_files(rows: DataFrame, key: str, element: Column, path: str, to_json: bool = True) -> None:
@@ -147,10 +149,13 @@ def run_files(t: Tables) -> DataFrame:
     asked = t("events").select("user_id", F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("q"), phase.alias("phases"))
     whole = asked.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("q", F.struct(
         F.col("q").alias("questionId"), "phases")))).alias("questions"))
-    text = whole.select(F.to_json(F.struct(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("runId"),
-                                           F.lit("completed").alias("status"), "questions")).alias("value"))
-    # One document a file, and one that cannot be read.
-    text.write.option("maxRecordsPerFile", 1).text(path)
+    text = whole.select(F.shiftright("user_id", RUN_BITS).alias("g"), F.to_json(F.struct(
+        F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("runId"), F.lit("completed").alias("status"),
+        "questions")).alias("value"))
+    # A file holds the documents of a range of user ids, so files are neither tiny nor grow with the table; one cannot be read.
+    files = text.groupBy("g").agg(F.sort_array(F.collect_list("value")).alias("l")).select(
+        F.concat(F.lit("["), F.array_join("l", ","), F.lit("]")).alias("value"))
+    files.write.option("maxRecordsPerFile", 1).text(path)
     t("region").limit(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
     return read_runs(t.spark, path)[1].select("run_id", "question_id", "phase", "status", "duration_ms")
 

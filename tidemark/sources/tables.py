@@ -77,7 +77,7 @@ _RUN = (
 
 
 def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, phase_log) from run documents; unreadable documents are skipped."""
+    """(runs, phase_log) from files of one run document or an array of them; files that cannot be read are skipped whole."""
     raw = spark.read.schema(_RUN).option("multiLine", True).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_broken").json(path)
     good = raw.where(F.col("_broken").isNull() & F.col("runId").isNotNull())
